@@ -71,3 +71,23 @@ def attach(
 def only(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows whose key is in ids (distinct): a broadcast if that was counted to be small, else a shuffle."""
     return rows.join(F.broadcast(ids) if n_ids <= broadcast_rows else ids.hint("shuffle_merge"), key, "left_semi")
+
+
+def in_fold(id: Column, of: int, rest: int) -> Column:
+    """Whether crc32 of the id as text leaves `rest` when divided by `of`; a null id counts as ''."""
+    return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % of == rest
+
+
+def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id") -> DataFrame:
+    """At most `bound` rows of docs with the label of `labels` (id, label), the first by a hash of the id.
+
+    The ids are chosen among all labelled rows first, so only their texts are read on. Ids that
+    repeat in docs count once for each row, still within the bound.
+    """
+    chosen = (
+        labels.filter(F.col(id).isNotNull() & F.col("label").isNotNull())
+        .dropDuplicates([id])
+        .orderBy(F.xxhash64(id), id)
+        .limit(bound)
+    )
+    return docs.join(F.broadcast(chosen), id).limit(bound)

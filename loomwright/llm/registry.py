@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup
+from loomwright.llm import decontaminate, exact_dedup, token_count
 
 QUERIES = {
+    "op4_token_counts": token_count.op4_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
