@@ -18,7 +18,7 @@ SIZE, LETTERS, GRAM = 512, 4096, 3
 SAMPLE = 8_000
 SHARPNESS = 24.0
 #: Rows of gram vectors that are in memory at once.
-ROWS = 8192
+ROWS = 1 << 14
 
 RANDOM = np.random.default_rng(5).integers(0, 2, (LETTERS, SIZE), dtype=np.int8) * 2 - 1
 #: The letter vectors permuted by their place in the gram.
@@ -60,15 +60,25 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     key = np.sort(owner * LETTERS**GRAM + code)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     weight = np.sqrt(np.diff(np.append(first, len(key)))).astype(np.float32)
-    key = key[first]
-    owner = key // LETTERS**GRAM
-    for a in range(0, len(key), ROWS):
-        part = key[a : a + ROWS]
+    owner, code = np.divmod(key[first], LETTERS**GRAM)
+    grams, row = np.unique(code, return_inverse=True)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a in range(0, len(grams), ROWS):  # each gram is bound once, for all texts of the piece
+        part = grams[a : a + ROWS]
         bound = TURNED[GRAM - 1][part % LETTERS]
         for i in range(GRAM - 1):
             bound = bound * TURNED[i][part // LETTERS ** (GRAM - 1 - i) % LETTERS]
-        whose, start = np.unique(owner[a : a + ROWS], return_index=True)
-        out[whose] += np.add.reduceat(bound * weight[a : a + ROWS, None], start, axis=0)
+        bound = bound.astype(np.float32)
+        mine = np.flatnonzero((row >= a) & (row < a + len(part))) if len(grams) > ROWS else None
+        if mine is None:
+            for k in range(len(texts)):
+                x = slice(cut[k], cut[k + 1])
+                out[k] = weight[x] @ bound[row[x]]
+        else:
+            at_text = np.searchsorted(owner[mine], np.arange(len(texts) + 1))
+            for k in range(len(texts)):
+                x = mine[at_text[k] : at_text[k + 1]]
+                out[k] += weight[x] @ bound[row[x] - a]
     return out, letters
 
 
