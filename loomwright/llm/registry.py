@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup, language_id, quality, token_count
+from loomwright.llm import decontaminate, exact_dedup, html_text, language_id, quality, token_count, toxicity
 
 QUERIES = {
+    "op3_html_text": html_text.op3_html_text,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_language_id": language_id.op5_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
