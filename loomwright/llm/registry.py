@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup, html_text, language_id, mixing, quality, token_count, toxicity
+from loomwright.llm import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, quality, token_count, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_html_text": html_text.op3_html_text,
     "op4_token_counts": token_count.op4_token_counts,
