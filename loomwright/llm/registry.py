@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, quality, token_count, toxicity
+from loomwright.llm import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, ppm, quality, token_count, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_text": html_text.op3_html_text,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_language_id": language_id.op5_language_id,
+    "op6_ppm_scores": ppm.op6_ppm_scores,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
