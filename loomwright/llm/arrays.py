@@ -109,19 +109,20 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Open addressing: the place of each 64-bit key in `keys`, or -1."""
+    """Open addressing: the place of each 64-bit key in the array of keys, or -1."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.ascontiguousarray(keys, np.uint64)
-        self.bits = max(4, int(len(self.keys) * 2).bit_length())
+        keys = np.ascontiguousarray(keys, np.uint64)
+        self.size = len(keys)
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(self.keys), dtype=np.int32), self._home(self.keys)
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(left):
             free = self.slots[at] < 0
             self.slots[at[free]] = left[free]  # of several for one slot, the last is in
             out = self.slots[at] != left
             left, at = left[out], (at[out] + 1) & ((1 << self.bits) - 1)
-        self.at_slot = np.where(self.slots >= 0, self.keys[self.slots] if len(self.keys) else 0, 0)
+        self.at_slot = np.where(self.slots >= 0, keys[self.slots] if len(keys) else np.uint64(0), np.uint64(0))
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)

@@ -255,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
     pure = rate / (rate + (F.col("clean") + 0.5) / n_clean)
     best = (
         count_traits(sample).filter(F.col("toxic") >= SUPPORT).withColumn("pure", pure).filter(F.col("pure") >= PURITY)
-        .orderBy(F.desc(F.col("toxic") * F.col("pure")), "trait").limit(TRAITS).toPandas()
+        .orderBy(F.desc(F.col("toxic") * F.col("pure")), "trait").limit(TRAITS).toArrow().to_pandas()
     )
     keys = best["trait"].to_numpy(np.int64).view(np.uint64)
 
@@ -281,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
                 x = field.summary(field.marginals(words, known, score), np.searchsorted(known, words.first))
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), piece.column("label")], names=["top", "sum", "label"])
 
-    x = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sums_of, "top double, sum double, label int").toPandas()
+    x = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sums_of, "top double, sum double, label int").toArrow().to_pandas()
     field.document = logistic(np.column_stack([np.ones(len(x)), x["top"], x["sum"]]), (x["label"] == 1).to_numpy(float))
     return field
 
