@@ -81,8 +81,8 @@ def in_fold(id: Column, of: int, rest: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id") -> DataFrame:
     """At most `bound` rows of docs with the label of `labels` (id, label), the first by a hash of the id.
 
-    The ids are chosen among all labelled rows first, so only their texts are read on. Ids that
-    repeat in docs count once for each row, still within the bound.
+    The ids are chosen among all labelled rows first, so only their texts are read on. An id that
+    repeats in docs counts once, with one of its texts.
     """
     chosen = (
         labels.filter(F.col(id).isNotNull() & F.col("label").isNotNull())
@@ -90,4 +90,4 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id")
         .orderBy(F.xxhash64(id), id)
         .limit(bound)
     )
-    return docs.join(F.broadcast(chosen), id).limit(bound)
+    return docs.join(F.broadcast(chosen), id).dropDuplicates([id])
