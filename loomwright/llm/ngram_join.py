@@ -1,11 +1,12 @@
-"""Near duplicates: a Jaccard join of word n-gram sets by MinHash banding, with every pair verified.
+"""Near duplicates: a Jaccard join of word n-gram sets by MinHash banding, with every link verified.
 
 Documents with the same n-gram set are one class of copies, and the join is among classes. In each
-band bucket one member is the centre, and the others are compared with it first. Jaccard distance is
-a metric: two members of one centre whose distances from it add up to no more than the limit are
-linked for certain, and are counted without being paired. Only the other pairs of a bucket are
-enumerated and compared. So a bucket of many near copies makes a number of pairs in proportion to
-its size, and no link is lost.
+band bucket one member is the centre, and the others are compared with it on their full sets. Jaccard
+distance is a metric, so if one of two linked members is linked to the centre, the other is within
+twice the limit of it. Such members of a centre are its canopy, and links inside a canopy are counted
+block against block: no row stands for a pair, and blocks of members whose distances from the centre
+add up to no more than the limit are linked throughout and not compared at all. Only pairs of which
+neither member is linked to a centre of the bucket are enumerated.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read
 
 #: Words in an n-gram, least similarity, hashes in a band, part of the pairs at that similarity that meet.
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
-#: Steps in which distances are rounded up.
-STEPS = 1_000
+#: Steps in which distances are rounded up; sets and n-grams of a block, about; columns compared at once.
+STEPS, BLOCK_SETS, BLOCK_GRAMS, WIDE = 1_000, 200, 60_000, 8_192
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -138,6 +139,60 @@ def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return joined.select("a", "b", "_x", "_y").mapInArrow(tell, "a binary, b binary, both long, either long")
 
 
+def _counted(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links between the sets of two blocks of a canopy, or inside one, on their full n-gram sets.
+
+    Gives (_set, null, w): copies of the sets that it is linked to, and (_set, other, null): links that
+    hold homes together. A pair belongs to the greatest home of its tight members, so that it is
+    counted in one canopy only; pairs of near members of a canopy in several blocks are left out.
+    """
+    kind = "_set binary, other binary, w long"
+
+    def tell(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        order = np.lexsort((np.array(table["_set"].to_pylist(), object),)) if n else np.zeros(0, np.int64)
+        table = table.take(pa.array(order))
+        host = table["host"][0].as_py()
+        names, home = table["_set"].to_pylist(), table["home"].to_pylist()
+        tight, ring = np.array(table["tight"].to_pylist()), np.array(table["_ring"].to_pylist())
+        copies, whole = np.array(table["_copies"].to_pylist()), table["_parts"][0].as_py() == 1
+        mine = np.array(table["_mine"].to_pylist())
+        same = table["_block"][0].as_py() == table["_other"][0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in table["_grams"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        every, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(n), size)
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        shared = np.zeros((n, n), np.float32)
+        for c in range(0, len(every), WIDE):
+            a, b = np.searchsorted(column, [c, c + WIDE])
+            dense = np.zeros((n, min(WIDE, len(every) - c)), np.float32)
+            dense[row[a:b], column[a:b] - c] = 1
+            shared += dense @ dense.T
+        link = shared >= (size[:, None] + size - shared) * (threshold - 1e-9)
+        np.fill_diagonal(link, False)
+        if not same:
+            link &= mine[:, None] != mine
+        if not whole:
+            link &= ~((ring[:, None] == 0) & (ring == 0))
+        rank = {x: k for k, x in enumerate(sorted({host, *home}))}
+        at = np.where(tight, np.array([rank[x] for x in home]), -1)
+        link &= np.maximum(at[:, None], at) == rank[host]
+        w = link @ copies
+        i, j = np.nonzero(np.triu(link))
+        apart = {(min(home[p], home[q]), max(home[p], home[q])): (names[p], names[q]) for p, q in zip(i, j, strict=True) if home[p] != home[q]}
+        return pa.table(
+            {
+                "_set": pa.array([*names, *[p for p, _ in apart.values()]], pa.binary()),
+                "other": pa.array([*[None] * n, *[q for _, q in apart.values()]], pa.binary()),
+                "w": pa.array([*w.tolist(), *[None] * len(apart)], pa.int64()),
+            }
+        )
+
+    return rows.groupBy("host", "_block", "_other").applyInArrow(tell, kind)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the same for all nodes that edges (a, b) connect; label is the least node."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
@@ -201,91 +256,112 @@ def near_duplicates(
         )
     )
 
-    def fits(a: str, b: str):
-        return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-9)
+    def fits(a: str, b: str, least: float):
+        """What the sizes allow for a similarity of `least`."""
+        return F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
 
-    stars = cut(placed.filter("_set <> centre").filter(fits("_size", "centre_size")).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct())
-    wanted = members.select("_set").distinct().join(sets.select("_set", "_one"), "_set").select(F.col("_one").alias("_text")).distinct()
-    wanted = cut(wanted)
+    near, wide = 1 - threshold, 1 - 2 * (1 - threshold)
+    limit = int(round(near * STEPS))
+    bin = F.ceil((F.col("either") - F.col("both")) * STEPS / F.col("either") - F.lit(1e-9)).cast("int")
+    is_link = F.col("both") >= F.col("either") * (threshold - 1e-9)
+    wanted = cut(members.select("_set").distinct().join(sets.select("_set", F.col("_one").alias("_text")), "_set").select("_text").distinct())
     texts = only(source.select("_text", "text"), wanted, "_text", wanted.count(), broadcast_rows).dropDuplicates(["_text"])
     grams = cut(_grams_of(texts.select("text"), width))
-    is_link = F.col("both") >= F.col("either") * (threshold - 1e-9)
-    starred = cut(_compared(stars, grams).filter(is_link))
 
-    # each set's home is the best known centre that it is linked to, or itself
-    limit = int(round((1 - threshold) * STEPS))
-    bin = F.least(F.ceil((F.col("either") - F.col("both")) * STEPS / F.col("either") - F.lit(1e-9)), F.lit(limit)).cast("int")
-    choice = starred.join(fame.select(F.col("_set").alias("a"), "_fame"), "a").select(
-        F.col("b").alias("_set"), F.struct("_fame", F.col("a").alias("home"), bin.alias("bin")).alias("_c")
-    )
-    itself = fame.select("_set", F.struct("_fame", F.col("_set").alias("home"), F.lit(0).alias("bin")).alias("_c"))
-    homes = cut(choice.union(itself).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", "_c.home", "_c.bin"))
-
-    # what the homes leave open: pairs with a member that is not near the home of the bucket's centre
-    at_home = placed.join(homes, "_set").select("_key", "_set", "_size", "centre", "home", "bin")
-    centre_home = homes.select(F.col("_set").alias("centre"), F.col("home").alias("_main"))
-    settled = cut(
-        placed.select("_key", "centre").distinct().join(centre_home, "centre").select("_key", "_main").join(centres.select("_key", "_in"), "_key")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with the rounded distance and whether they are linked, as far as the canopy goes."""
+        found = _compared(pairs, grams).select("a", "b", F.least(bin, F.lit(2 * limit + 1)).alias("bin"), is_link.alias("link"))
+        return cut(found.filter(F.col("link") | (F.col("bin") <= 2 * limit)))
+
+    stars = cut(
+        placed.filter("_set <> centre").filter(fits("_size", "centre_size", wide)).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct()
     )
-    at_home = cut(
-        attach(at_home, settled, ["_key"], "_in", n_slots, n_buckets, F.col("_set"), "_m", broadcast_rows)
-        .select("_key", "_set", "_size", "home", "bin", ((F.col("home") == F.col("_m._main")) & (F.col("bin") * 2 <= limit)).alias("_near"), (F.col("_set") == F.col("centre")).alias("_is"))
-        .filter(~F.col("_is"))
+    starred = compared(stars)
+    # each set's home is the most famous centre that it is linked to, or itself
+    choice = starred.filter("link").join(fame.select(F.col("_set").alias("a"), "_fame"), "a").select(
+        F.col("b").alias("_set"), F.struct("_fame", F.col("a").alias("home")).alias("_c")
     )
-    left = at_home.filter(~F.col("_near")).select("_key", *[F.col(c).alias(f"l{c}") for c in ("_set", "_size", "home", "bin")])
-    pairs = left.join(at_home.hint("shuffle_merge"), "_key").filter(
-        (F.col("_near") | (F.col("l_set") < F.col("_set")))
-        & ~((F.col("home") == F.col("lhome")) & (F.col("bin") + F.col("lbin") <= limit))
-        & fits("_size", "l_size")
+    itself = fame.select("_set", F.struct("_fame", F.col("_set").alias("home")).alias("_c"))
+    homes = cut(choice.union(itself).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", "_c.home"))
+    hosts = cut(homes.filter("home <> _set").select(F.col("home").alias("host")).distinct())
+    settled = homes.join(hosts, homes["_set"] == hosts["host"], "left").select(
+        "_set", "home", ((F.col("home") != F.col("_set")) | F.col("host").isNotNull()).alias("tight")
     )
-    ordered = cut(pairs.select(F.least("_set", "l_set").alias("a"), F.greatest("_set", "l_set").alias("b")).distinct())
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_compared(ordered.join(seen, ["a", "b"], "left_anti"), grams).filter(is_link))
-
-    links = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(more.select("a", "b")).distinct()
-    a_home = homes.select(F.col("_set").alias("a"), F.col("home").alias("a_home"), F.col("bin").alias("a_bin"))
-    b_home = homes.select(F.col("_set").alias("b"), F.col("home").alias("b_home"), F.col("bin").alias("b_bin"))
-    told = cut(
-        links.join(a_home, "a").join(b_home, "b").filter(~((F.col("a_home") == F.col("b_home")) & (F.col("a_bin") + F.col("b_bin") <= limit)))
+    settled = cut(settled)
+    lodged = cut(placed.join(settled, "_set").select("_key", "_set", "_size", "centre", "home", "tight"))
+    # where a bucket's members have another home than its centre, all its members meet that one too
+    others = lodged.filter("tight and home <> centre").select("_key", F.col("home").alias("a")).distinct()
+    others = others.join(sets.select(F.col("_set").alias("a"), F.col("_size").alias("a_size")), "a")
+    guests = others.hint("shuffle_merge").join(lodged.select("_key", "_set", "_size"), "_key").filter((F.col("a") != F.col("_set")) & fits("_size", "a_size", wide))
+    guests = guests.select("a", F.col("_set").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    visited = starred.union(compared(guests))
+    # pairs of which neither has a home
+    loose = cut(lodged.filter("not tight").select("_key", "_set", "_size"))
+    left, right = loose.select("_key", F.col("_set").alias("a"), F.col("_size").alias("a_size")), loose.withColumnRenamed("_set", "b")
+    strays = left.hint("shuffle_merge").join(right, "_key").filter((F.col("a") < F.col("b")) & fits("_size", "a_size", threshold))
+    strays = cut(
+        compared(strays.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+        .filter("link").select("a", "b")
+    )
+
+    # canopies: all sets within twice the limit of a host
+    copies = sets.select("_set", "_size", "_copies")
+    canopy = visited.join(hosts.select(F.col("host").alias("a")), "a").select(F.col("a").alias("host"), F.col("b").alias("_set"), "bin")
+    canopy = canopy.union(hosts.select("host", F.col("host").alias("_set"), F.lit(0).alias("bin")))
+    canopy = cut(canopy.join(settled, "_set").join(copies, "_set"))
+    sizes = cut(canopy.groupBy("host").agg(F.count(F.lit(1)).alias("_in"), F.sum("_size").alias("_grams")))
+    n_canopy = canopy.count()
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_in") / BLOCK_SETS), F.ceil(F.col("_grams") / BLOCK_GRAMS)).cast("long")
+    spread = attach(canopy, sizes.withColumn("_parts", parts), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_s", broadcast_rows)
+    # 0: near (all linked to each other), 1: the rest; blocks of either by a hash
+    ring = F.when((F.col("home") == F.col("host")) & (F.col("bin") * 2 <= limit), 0).otherwise(1)
+    block = F.when(F.col("_s._parts") == 1, F.lit(0)).otherwise(ring * F.col("_s._parts") + F.pmod(F.xxhash64("_set"), F.col("_s._parts")))
+    spread = cut(
+        spread.filter("_s._in > 2").select("host", "_set", "home", "tight", "bin", "_copies", F.col("_s._parts").alias("_parts"), ring.alias("_ring"), block.cast("long").alias("_block"))
     )
-    copies = sets.select("_set", "_copies")
-    one_way = told.select("a", "b").union(told.select("b", "a"))
-    counted = one_way.join(copies.withColumnRenamed("_set", "b"), "b").groupBy(F.col("a").alias("_set")).agg(F.sum("_copies").alias("_told"))
-    # links that follow from the distances to a common home: members within what is left of the limit
-    heavy = homes.join(copies, "_set")
-    rings = heavy.groupBy("home", "bin").agg(F.sum("_copies").alias("w"), F.count(F.lit(1)).alias("n"))
-    rings = cut(rings.groupBy("home").agg(F.collect_list(F.struct("bin", "w")).alias("_rings"), F.sum("n").alias("_in")))
-    implied = attach(heavy, rings, ["home"], "_in", n_slots, rings.count(), F.col("_set"), "_r", broadcast_rows)
-    implied = implied.select(
-        "_set",
-        "home",
-        "_copies",
-        (
-            F.aggregate(
-                F.filter("_r._rings", lambda r: r["bin"] + F.col("bin") <= limit), F.lit(0).cast("long"), lambda s, r: s + r["w"]
-            )
-            - F.when(F.col("bin") * 2 <= limit, F.col("_copies")).otherwise(0)
-        ).alias("_implied"),
+    blocks = spread.groupBy("host", "_block").agg(F.first("_parts").alias("_parts"), F.max("_ring").alias("_ring"))
+    one, two = blocks, blocks.select("host", F.col("_block").alias("_other"), F.col("_ring").alias("_other_ring"))
+    turns = one.join(two, "host").filter("_block <= _other and (_parts = 1 or _ring = 1 or _other_ring = 1)")
+    turns = cut(turns.select("host", "_block", "_other"))
+    sides = turns.select("host", F.col("_block").alias("_mine"), "_block", "_other").union(
+        turns.filter("_block <> _other").select("host", F.col("_other").alias("_mine"), "_block", "_other")
     )
+    full = spread.withColumnRenamed("_block", "_mine").join(grams.hint("shuffle_merge"), "_set").join(sides, ["host", "_mine"])
+    told = cut(_counted(full, threshold))
+    # near members of a canopy in blocks are all linked
+    rings = spread.filter("_parts > 1 and _ring = 0").groupBy("host").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_in"))
+    near_ones = spread.filter("_parts > 1 and _ring = 0")
+    implied = attach(near_ones, cut(rings), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_r", broadcast_rows)
+    implied = implied.select("_set", (F.col("_r._all") - F.col("_copies")).alias("w"))
+    # a canopy of two is one pair, and a stray pair is counted as it is
+    linked = visited.filter("link").select(F.col("a").alias("host"), F.col("b").alias("_set"))
+    two_only = canopy.join(sizes.filter("_in = 2").select("host"), "host").filter("_set <> host").join(linked, ["host", "_set"])
+    host_home = settled.select(F.col("_set").alias("host"), F.col("home").alias("host_home"))
+    owner = F.when(F.col("tight"), F.greatest("home", "host_home")).otherwise(F.col("host_home"))
+    two_only = two_only.join(host_home, "host").filter(owner == F.col("host"))
+    single = cut(strays.union(two_only.select("host", "_set")))
+    weight = sets.select(F.col("_set").alias("b"), F.col("_copies").alias("w"))
+    direct = single.union(single.select("b", "a")).join(weight, "b").select(F.col("a").alias("_set"), "w")
+    counted = told.filter("other is null").select("_set", "w").union(implied).union(direct).groupBy("_set").agg(F.sum("w").alias("_links"))
     # classes: sets by homes, homes by the links between them
-    of_home = homes.select(F.col("_set").alias("a"), F.col("home").alias("b"))
-    edges = told.select(F.col("a_home").alias("a"), F.col("b_home").alias("b")).union(
-        homes.select(F.col("home").alias("a")).distinct().join(of_home, "a")
-    )
-    labels = components(edges)
+    of_set = settled.select(F.col("_set").alias("a"), F.col("home").alias("a_home"))
+    far = told.filter("other is not null").select(F.col("_set").alias("a"), F.col("other").alias("b"))
+    crossed = strays.union(far).union(starred.filter("link").select("a", "b"))
+    edges = crossed.join(of_set, "a").join(of_set.select(F.col("a").alias("b"), F.col("a_home").alias("b_home")), "b").select(F.col("a_home").alias("a"), F.col("b_home").alias("b"))
+    labels = components(edges.filter("a <> b"))
     named = cut(
-        implied.join(counted, "_set", "left")
+        settled.join(counted, "_set", "left")
         .join(labels.withColumnRenamed("node", "home"), "home", "left")
         .join(sets.select("_set", "_least"), "_set")
-        .select("_set", "_least", "_copies", F.coalesce("label", "home").alias("_label"), (F.col("_implied") + F.coalesce("_told", F.lit(0))).alias("_links"))
+        .select("_set", "_least", F.coalesce("label", "home").alias("_label"), F.coalesce("_links", F.lit(0)).alias("_links"))
     )
     classes = cut(named.groupBy("_label").agg(F.min("_least").alias("class_id"), F.count(F.lit(1)).alias("_in")))
     named = attach(named, classes, ["_label"], "_in", n_slots, classes.count(), F.col("_set"), "_k", broadcast_rows).select(
-        "_set", "_copies", "_links", F.col("_k.class_id").alias("class_id")
+        "_set", "_links", F.col("_k.class_id").alias("class_id")
     )
     # sets that meet no other have only their own copies
     whole = cut(
-        sets.join(named.drop("_copies"), "_set", "left")
+        sets.join(named, "_set", "left")
         .filter("_copies > 1 or _links > 0")
         .select("_set", "_copies", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("class_id", "_least").alias("class_id"))
     )
