@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomwright.registry import query
 from loomwright.session import table, views
 
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("""
@@ -19,7 +20,7 @@ def w1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_type")
     return table(spark, sf_dir, "events").select(
         "event_id", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"),
-        F.round(F.percent_rank().over(w), 9).alias("p"), F.round(F.cume_dist().over(w), 9).alias("c"), F.ntile(4).over(BY_USER).cast("long").alias("q"),
+        F.round(F.percent_rank().over(w), 9).alias("p"), F.round(F.cume_dist().over(w), 9).alias("c"), F.ntile(4).over(by_user()).cast("long").alias("q"),
     )
 
 
@@ -29,7 +30,7 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def w2_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
-        "event_id", F.lag("value", 2, -1.0).over(BY_USER).alias("before"), F.lead("event_type").over(BY_USER).alias("after")
+        "event_id", F.lag("value", 2, -1.0).over(by_user()).alias("before"), F.lead("event_type").over(by_user()).alias("after")
     )
 
 
@@ -38,7 +39,7 @@ SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l,
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """)
 def w3_first_last_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = BY_USER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = by_user().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return table(spark, sf_dir, "events").select(
         "event_id", F.first("value").over(w).alias("f"), F.last("value").over(w).alias("l"), F.nth_value("value", 3).over(w).alias("n")
     )
@@ -48,7 +49,7 @@ def w3_first_last_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s FROM events
 """)
 def w4_rows_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(BY_USER.rowsBetween(-2, 0)), 6).alias("s"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(by_user().rowsBetween(-2, 0)), 6).alias("s"))
 
 
 W5 = """
@@ -78,7 +79,7 @@ FROM events
 """)
 def w7_exclude_current_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two frames, one on either side of the row."""
-    side = lambda a, b: F.coalesce(F.sum("value").over(BY_USER.rowsBetween(a, b)), F.lit(0.0))
+    side = lambda a, b: F.coalesce(F.sum("value").over(by_user().rowsBetween(a, b)), F.lit(0.0))
     return table(spark, sf_dir, "events").select("event_id", F.round(side(-1, -1) + side(1, 1), 6).alias("s"))
 
 
