@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
-from loomwright.llm.common import cut, read
+from loomwright.llm.common import aside, cut, read
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
-    columns = docs.columns
     model = quality.learn(docs.select("doc_id", "text"), quality.quality_labels(spark, sf_dir))
-    return quality.score_quality(docs, model, keep_text=True).filter("predicted = 1").select(*columns)
+    docs, back = aside(docs, ["score", "predicted"])
+    return back(quality.score_quality(docs, model, keep_text=True).filter("predicted = 1").select(*docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
+    docs, back = aside(docs, ["keep_id", "group_size", "kept", "full_hash"])
     found = exact_dedup.exact_dedup(docs).filter("kept")
-    return exact_dedup.first_of_repeats(found, docs.columns)
+    return back(exact_dedup.first_of_repeats(found, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +93,21 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id")
         .limit(bound)
     )
     return docs.join(F.broadcast(chosen), id).dropDuplicates([id])
+
+
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with those of its columns that are in names renamed, and the function that names them back."""
+    taken = [c for c in df.columns if c in set(names)]
+    other = {c: f"aside{len(df.columns)}_{c}" for c in taken}
+    return df.withColumnsRenamed(other), lambda out: out.withColumnsRenamed({v: k for k, v in other.items()})
+
+
+def shielded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets the columns of the first argument have names that f uses inside, which start with an underscore."""
+
+    @wraps(f)
+    def g(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        docs, back = aside(docs, [c for c in docs.columns if c.startswith("_")])
+        return back(f(docs, *args, **kwargs))
+
+    return g

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read
+from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read, shielded
 
 #: Words in a window that counts as contamination, and words in a hashed gram. Each run of WINDOW
 #: shared words holds WINDOW - GRAM + 1 grams, whose least hash is a fingerprint on both sides.
@@ -169,6 +169,7 @@ def shared_windows(
     return narrow.drop("_fps"), cut(result)
 
 
+@shielded
 def decontaminate(
     docs: DataFrame, bench: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -187,6 +188,7 @@ def decontaminate(
     )
 
 
+@shielded
 def clean_of(docs: DataFrame, bench: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs, whole, that share no window with the benchmark."""
     narrow, hits = shared_windows(docs.select(text), bench, text, broadcast_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read
+from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read, shielded
 
 PREFIX = 64
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -16,6 +16,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
+@shielded
 def exact_dedup(
     docs: DataFrame,
     text: str = "text",

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import read
+from loomwright.llm.common import read, shielded
 
 #: Markup, in one pass: comments, declarations, elements whose content is no text, and tags.
 MARKUP = re.compile(
@@ -231,6 +231,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(kept)
 
 
+@shielded
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:
     """pages without the source, with text and n_chars (code points)."""
     rest = [c for c in pages.columns if c not in (source, "text", "n_chars")]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import pieces, sums
-from loomwright.llm.common import in_fold, labelled, read
+from loomwright.llm.common import in_fold, labelled, read, shielded
 
 #: Entries of a hypervector, letters told apart, letters in a gram.
 SIZE, LETTERS, GRAM = 512, 4096, 3
@@ -94,6 +94,7 @@ def prototypes(texts: list[str | None], langs: list[str]) -> tuple[list[str], np
     return names, (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+@shielded
 def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, text: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score.
 

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import cut, read
+from loomwright.llm.common import cut, read, shielded
 
 #: Rows in a block; slots in a period, of which each source gets its share; rows ordered by one task.
 BLOCK, PERIOD, BUCKET_ROWS = 64, 1_000, 65_536
@@ -81,6 +81,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return rows
 
 
+@shielded
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import Words, as_bytes, mixed, pieces
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read
+from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read, shielded
 
 #: Words in an n-gram, least similarity, hashes in a band, part of the pairs at that similarity that meet.
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
@@ -376,20 +376,21 @@ def near_duplicates(
     )
 
 
+@shielded
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs, whole, with the least id of each class of near duplicates; one if it repeats."""
     found = cut(near_duplicates(docs, text, id, broadcast_rows=broadcast_rows))
     linked = found.filter("n_links > 0")
-    first = linked.filter(F.col(id).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_times"))
+    first = linked.filter(F.col(id).eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_class")).agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_times"))
     judged = cut(
-        linked.join(first, F.col(f"{id}").eqNullSafe(first["class_id"]), "left")
-        .select(F.coalesce(id, F.lit(-1)).alias("_id"), "_text", (F.col("_first") == F.col("_text")).alias("_stays"), "_times")
+        linked.join(first, F.col(id).eqNullSafe(F.col("_class")), "left")
+        .select(F.coalesce(id, F.lit(-1)).alias("_id"), "_text", F.coalesce(F.col("_first") == F.col("_text"), F.lit(False)).alias("_stays"), "_times")
         .distinct()
     )
     rows = docs.select("*", F.coalesce(F.col(id).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     few = judged.count() <= broadcast_rows
     told = rows.join(F.broadcast(judged) if few else judged, ["_id", "_text"], "left")
-    once = told.filter("_times is null and _stays is null or _stays and _times = 1").select(*docs.columns)
+    once = told.filter("_stays is null or _stays and _times = 1").select(*docs.columns)
     repeated = told.filter("_stays and _times > 1").dropDuplicates(["_id", "_text"]).select(*docs.columns)
     return once.unionByName(repeated)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import Table, Words, as_bytes, mixed, pieces, sums
-from loomwright.llm.common import read
+from loomwright.llm.common import read, shielded
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -169,6 +169,7 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[0x20] = False
 
 
+@shielded
 def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs without the text, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import BYTE_CODES, LOWER, Table, Words, as_bytes, mixed, pieces, powers, sums
-from loomwright.llm.common import in_fold, labelled, read
+from loomwright.llm.common import in_fold, labelled, read, shielded
 
 #: Labelled documents to learn from, and traits that the field knows, at most.
 SAMPLE, TRAITS = 20_000, 4_096
@@ -286,6 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
     return field
 
 
+@shielded
 def score_toxicity(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """docs without the text, with score, predicted and spans (start and end in code points, marginal).
 
