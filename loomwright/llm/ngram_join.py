@@ -5,8 +5,8 @@ band bucket one member is the centre, and the others are compared with it on the
 distance is a metric, so if one of two linked members is linked to the centre, the other is within
 twice the limit of it. Such members of a centre are its canopy, and links inside a canopy are counted
 block against block: no row stands for a pair, and blocks of members whose distances from the centre
-add up to no more than the limit are linked throughout and not compared at all. Only pairs of which
-neither member is linked to a centre of the bucket are enumerated.
+add up to no more than the limit are linked throughout and not compared at all. Members without a centre that many share are banded again,
+with longer bands that only similar sets have in common, and those pairs are enumerated and compared.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read, shiel
 
 #: Words in an n-gram, least similarity, hashes in a band, part of the pairs at that similarity that meet.
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
+#: Hashes in a band of the second banding; sets that a centre must be home to, for a canopy.
+LONG_ROWS, HOST = 10, 16
 #: Steps in which distances are rounded up; sets and n-grams of a block, about; columns compared at once.
 STEPS, BLOCK_SETS, BLOCK_GRAMS, WIDE = 1_000, 200, 60_000, 8_192
 
@@ -104,6 +106,20 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(tell, "_id long, _text long, _set binary, _size long, _bands array<long>")
 
 
+def _banded(grams: DataFrame, bands: int, rows: int) -> DataFrame:
+    """_set and _bands of _set and _grams."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                keys = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("_grams")], bands, rows).view(np.int64)
+                at = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("_set"), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["_set", "_bands"])
+
+    return grams.select("_set", "_grams").mapInArrow(tell, "_set binary, _bands array<long>")
+
+
 def _grams_of(docs: DataFrame, width: int) -> DataFrame:
     """_set and its n-grams as bytes, of docs (text)."""
 
@@ -277,17 +293,21 @@ def near_duplicates(
         placed.filter("_set <> centre").filter(fits("_size", "centre_size", wide)).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct()
     )
     starred = compared(stars)
-    # each set's home is the most famous centre that it is linked to, or itself
-    choice = starred.filter("link").join(fame.select(F.col("_set").alias("a"), "_fame"), "a").select(
-        F.col("b").alias("_set"), F.struct("_fame", F.col("a").alias("home")).alias("_c")
-    )
-    itself = fame.select("_set", F.struct("_fame", F.col("_set").alias("home")).alias("_c"))
-    homes = cut(choice.union(itself).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", "_c.home"))
-    hosts = cut(homes.filter("home <> _set").select(F.col("home").alias("host")).distinct())
-    settled = homes.join(hosts, homes["_set"] == hosts["host"], "left").select(
-        "_set", "home", ((F.col("home") != F.col("_set")) | F.col("host").isNotNull()).alias("tight")
+    # each set's home is the centre with most links that it is linked to, or itself; small ones don't count
+    degree = cut(starred.filter("link").groupBy("a").agg(F.count(F.lit(1)).alias("_links")))
+    choice = starred.filter("link").join(degree, "a").select(F.col("b").alias("_set"), F.struct("_links", F.col("a").alias("home")).alias("_c"))
+    itself = fame.select(F.col("_set").alias("a")).join(degree, "a", "left")
+    itself = itself.select(F.col("a").alias("_set"), F.struct(F.coalesce("_links", F.lit(0)).alias("_links"), F.col("a").alias("home")).alias("_c"))
+    chosen = cut(choice.union(itself).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", "_c.home"))
+    hosts = cut(chosen.groupBy(F.col("home").alias("host")).agg(F.count(F.lit(1)).alias("_guests")).filter(F.col("_guests") >= HOST))
+    is_host = cut(chosen.join(hosts.select(F.col("host").alias("_set"), F.lit(True).alias("_is")), "_set", "left"))
+    with_home = attach(is_host, hosts.withColumnRenamed("host", "home"), ["home"], "_guests", n_slots, hosts.count(), F.col("_set"), "_h", broadcast_rows)
+    settled = with_home.select(
+        "_set",
+        F.when(F.col("_h").isNotNull(), F.col("home")).otherwise(F.col("_set")).alias("home"),
+        (F.col("_h").isNotNull() | F.col("_is").isNotNull()).alias("tight"),
     )
-    settled = cut(settled)
+    settled, hosts = cut(settled), hosts.select("host")
     lodged = cut(placed.join(settled, "_set").select("_key", "_set", "_size", "centre", "home", "tight"))
     # where a bucket's members have another home than its centre, all its members meet that one too
     others = lodged.filter("tight and home <> centre").select("_key", F.col("home").alias("a")).distinct()
@@ -296,13 +316,14 @@ def near_duplicates(
     guests = guests.select("a", F.col("_set").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     visited = starred.union(compared(guests))
     # pairs of which neither has a home
-    loose = cut(lodged.filter("not tight").select("_key", "_set", "_size"))
-    left, right = loose.select("_key", F.col("_set").alias("a"), F.col("_size").alias("a_size")), loose.withColumnRenamed("_set", "b")
+    loose = cut(lodged.filter("not tight").select("_set", "_size").distinct())
+    keyed = _banded(grams.join(loose.select("_set").hint("shuffle_merge"), "_set", "left_semi"), band_count(threshold, LONG_ROWS, recall), LONG_ROWS)
+    keyed = cut(keyed.select("_set", F.explode("_bands").alias("_key")))
+    shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1").select("_key")
+    keyed = cut(keyed.join(shared.hint("shuffle_merge"), "_key").join(loose, "_set"))
+    left, right = keyed.select("_key", F.col("_set").alias("a"), F.col("_size").alias("a_size")), keyed.withColumnRenamed("_set", "b")
     strays = left.hint("shuffle_merge").join(right, "_key").filter((F.col("a") < F.col("b")) & fits("_size", "a_size", threshold))
-    strays = cut(
-        compared(strays.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        .filter("link").select("a", "b")
-    )
+    strays = cut(compared(strays.select("a", "b").distinct()).filter("link").select("a", "b"))
 
     # canopies: all sets within twice the limit of a host
     copies = sets.select("_set", "_size", "_copies")
@@ -317,7 +338,7 @@ def near_duplicates(
     ring = F.when((F.col("home") == F.col("host")) & (F.col("bin") * 2 <= limit), 0).otherwise(1)
     block = F.when(F.col("_s._parts") == 1, F.lit(0)).otherwise(ring * F.col("_s._parts") + F.pmod(F.xxhash64("_set"), F.col("_s._parts")))
     spread = cut(
-        spread.filter("_s._in > 2").select("host", "_set", "home", "tight", "bin", "_copies", F.col("_s._parts").alias("_parts"), ring.alias("_ring"), block.cast("long").alias("_block"))
+        spread.select("host", "_set", "home", "tight", "bin", "_copies", F.col("_s._parts").alias("_parts"), ring.alias("_ring"), block.cast("long").alias("_block"))
     )
     blocks = spread.groupBy("host", "_block").agg(F.first("_parts").alias("_parts"), F.max("_ring").alias("_ring"))
     one, two = blocks, blocks.select("host", F.col("_block").alias("_other"), F.col("_ring").alias("_other_ring"))
@@ -333,15 +354,9 @@ def near_duplicates(
     near_ones = spread.filter("_parts > 1 and _ring = 0")
     implied = attach(near_ones, cut(rings), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_r", broadcast_rows)
     implied = implied.select("_set", (F.col("_r._all") - F.col("_copies")).alias("w"))
-    # a canopy of two is one pair, and a stray pair is counted as it is
-    linked = visited.filter("link").select(F.col("a").alias("host"), F.col("b").alias("_set"))
-    two_only = canopy.join(sizes.filter("_in = 2").select("host"), "host").filter("_set <> host").join(linked, ["host", "_set"])
-    host_home = settled.select(F.col("_set").alias("host"), F.col("home").alias("host_home"))
-    owner = F.when(F.col("tight"), F.greatest("home", "host_home")).otherwise(F.col("host_home"))
-    two_only = two_only.join(host_home, "host").filter(owner == F.col("host"))
-    single = cut(strays.union(two_only.select("host", "_set")))
+    # a stray pair is counted as it is
     weight = sets.select(F.col("_set").alias("b"), F.col("_copies").alias("w"))
-    direct = single.union(single.select("b", "a")).join(weight, "b").select(F.col("a").alias("_set"), "w")
+    direct = strays.union(strays.select("b", "a")).join(weight, "b").select(F.col("a").alias("_set"), "w")
     counted = told.filter("other is null").select("_set", "w").union(implied).union(direct).groupBy("_set").agg(F.sum("w").alias("_links"))
     # classes: sets by homes, homes by the links between them
     of_set = settled.select(F.col("_set").alias("a"), F.col("home").alias("a_home"))
