@@ -114,7 +114,7 @@ class Table:
     def __init__(self, keys: np.ndarray):
         keys = np.ascontiguousarray(keys, np.uint64)
         self.size = len(keys)
-        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.bits = max(4, int(len(keys) * 1.4).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(left):
