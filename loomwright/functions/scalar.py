@@ -163,8 +163,8 @@ def f14_variant_xml_csv_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, f.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS dot FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1")
-def v3_dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of neighbours: the vectors have unit length."""
+def f10_zip_with_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot products of neighbouring vectors, which have unit length."""
     e = table(spark, sf_dir, "embeddings")
     f = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
     products = F.zip_with("embedding", "next", lambda a, b: a.cast("double") * b.cast("double"))
