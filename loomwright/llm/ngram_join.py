@@ -24,8 +24,9 @@ from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read, shiel
 
 #: Words in an n-gram, least similarity, hashes in a band, part of the pairs at that similarity that meet.
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
-#: Hashes in a band of the second banding; sets that a centre must be home to, for a canopy.
-LONG_ROWS, HOST = 10, 16
+#: Hashes in a band of the second banding; sets that a centre must be home to, for a canopy, unless it
+#: meets few: so many in all its buckets together.
+LONG_ROWS, HOST, FEW = 12, 16, 200
 #: Steps in which distances are rounded up; sets and n-grams of a block, about; columns compared at once.
 STEPS, BLOCK_SETS, BLOCK_GRAMS, WIDE = 1_000, 200, 60_000, 8_192
 
@@ -299,7 +300,8 @@ def near_duplicates(
     itself = fame.select(F.col("_set").alias("a")).join(degree, "a", "left")
     itself = itself.select(F.col("a").alias("_set"), F.struct(F.coalesce("_links", F.lit(0)).alias("_links"), F.col("a").alias("home")).alias("_c"))
     chosen = cut(choice.union(itself).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", "_c.home"))
-    hosts = cut(chosen.groupBy(F.col("home").alias("host")).agg(F.count(F.lit(1)).alias("_guests")).filter(F.col("_guests") >= HOST))
+    hosts = cut(chosen.groupBy(F.col("home").alias("host")).agg(F.count(F.lit(1)).alias("_guests")).filter("_guests > 1"))
+    hosts = cut(hosts.join(fame.withColumnRenamed("_set", "host"), "host").filter((F.col("_guests") >= HOST) | (F.col("_fame") <= FEW)).drop("_fame"))
     is_host = cut(chosen.join(hosts.select(F.col("host").alias("_set"), F.lit(True).alias("_is")), "_set", "left"))
     with_home = attach(is_host, hosts.withColumnRenamed("host", "home"), ["home"], "_guests", n_slots, hosts.count(), F.col("_set"), "_h", broadcast_rows)
     settled = with_home.select(
@@ -338,7 +340,7 @@ def near_duplicates(
     ring = F.when((F.col("home") == F.col("host")) & (F.col("bin") * 2 <= limit), 0).otherwise(1)
     block = F.when(F.col("_s._parts") == 1, F.lit(0)).otherwise(ring * F.col("_s._parts") + F.pmod(F.xxhash64("_set"), F.col("_s._parts")))
     spread = cut(
-        spread.select("host", "_set", "home", "tight", "bin", "_copies", F.col("_s._parts").alias("_parts"), ring.alias("_ring"), block.cast("long").alias("_block"))
+        spread.filter("_s._in > 2").select("host", "_set", "home", "tight", "bin", "_copies", F.col("_s._parts").alias("_parts"), ring.alias("_ring"), block.cast("long").alias("_block"))
     )
     blocks = spread.groupBy("host", "_block").agg(F.first("_parts").alias("_parts"), F.max("_ring").alias("_ring"))
     one, two = blocks, blocks.select("host", F.col("_block").alias("_other"), F.col("_ring").alias("_other_ring"))
@@ -354,9 +356,15 @@ def near_duplicates(
     near_ones = spread.filter("_parts > 1 and _ring = 0")
     implied = attach(near_ones, cut(rings), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_r", broadcast_rows)
     implied = implied.select("_set", (F.col("_r._all") - F.col("_copies")).alias("w"))
-    # a stray pair is counted as it is
+    # a canopy of two is one pair, and a stray pair is counted as it is
+    linked = visited.filter("link").select(F.col("a").alias("host"), F.col("b").alias("_set"))
+    two_only = canopy.join(sizes.filter("_in = 2").select("host"), "host").filter("_set <> host").join(linked, ["host", "_set"])
+    host_home = settled.select(F.col("_set").alias("host"), F.col("home").alias("host_home"))
+    owner = F.when(F.col("tight"), F.greatest("home", "host_home")).otherwise(F.col("host_home"))
+    two_only = two_only.join(host_home, "host").filter(owner == F.col("host"))
+    single = cut(strays.union(two_only.select("host", "_set")))
     weight = sets.select(F.col("_set").alias("b"), F.col("_copies").alias("w"))
-    direct = strays.union(strays.select("b", "a")).join(weight, "b").select(F.col("a").alias("_set"), "w")
+    direct = single.union(single.select("b", "a")).join(weight, "b").select(F.col("a").alias("_set"), "w")
     counted = told.filter("other is null").select("_set", "w").union(implied).union(direct).groupBy("_set").agg(F.sum("w").alias("_links"))
     # classes: sets by homes, homes by the links between them
     of_set = settled.select(F.col("_set").alias("a"), F.col("home").alias("a_home"))
