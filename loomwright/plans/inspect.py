@@ -23,8 +23,8 @@ def shuffles(df: DataFrame) -> int:
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
-    """The filters that each scan has taken over."""
-    return re.findall(r"PushedFilters: \[(.*?)\]", physical(df))
+    """The filters that each scan has taken over; Spark shortens long lists."""
+    return re.findall(r"PushedFilters: \[(.*?)\]?, ReadSchema", physical(df))
 
 
 def columns_read(df: DataFrame) -> list[str]:

@@ -24,20 +24,20 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finished(df: DataFrame, mode: str) -> DataFrame:
     """What the stream has written when all input has been read. The sink is a table in the shared folder."""
-    spark = df.sparkSession
-    if mode == "complete":  # each batch replaces the whole result
-        path = shared_folder(spark)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    none = spark.createDataFrame([], df.schema)
 
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
+    def replace(batch: DataFrame, _: int) -> None:  # each batch is the whole result
+        batch.write.mode("overwrite").parquet(path)
 
+    def append(batch: DataFrame, number: int) -> None:  # by number, so that a repeated batch replaces itself
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    if mode == "complete":
+        replace(none, 0)
         writer = df.writeStream.outputMode("complete").foreachBatch(replace)
     else:
-        path = shared_folder(spark)
-
-        def append(batch: DataFrame, number: int) -> None:  # by number, so that a repeated batch replaces itself
-            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
+        append(none, -1)
         writer = df.writeStream.outputMode(mode).foreachBatch(append)
     running = writer.option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start()
     running.awaitTermination()
