@@ -421,3 +421,26 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", broadca
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every document."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM d),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT a, b, k = x.n AND k = y.n AS same FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY a),
+degrees AS (SELECT a AS r, count(*) AS n_links, count(*) FILTER (WHERE same) AS twins FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(twins, 0) + 1 AS n_copies
+FROM d JOIN classes USING (r) LEFT JOIN degrees USING (r)
+"""

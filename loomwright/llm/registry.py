@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
+    "op1_ngram_join": ngram_join.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
