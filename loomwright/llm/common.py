@@ -84,11 +84,12 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id")
     """At most `bound` rows of docs with the label of `labels` (id, label), the first by a hash of the id.
 
     The ids are chosen among all labelled rows first, so only their texts are read on. An id that
-    repeats in docs counts once, with one of its texts.
+    repeats in docs counts once, with one of its texts; of several labels of an id the greatest counts.
     """
     chosen = (
         labels.filter(F.col(id).isNotNull() & F.col("label").isNotNull())
-        .dropDuplicates([id])
+        .groupBy(id)
+        .agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64(id), id)
         .limit(bound)
     )

@@ -16,7 +16,7 @@ from loomwright.llm.common import read, shielded
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Pre-tokens of more symbols are merged one at a time from a heap.
-LONG = 64
+LONG = 2048
 #: Counts of pre-tokens that a worker remembers; beyond that it starts afresh.
 REMEMBERED = 1 << 20
 #: No rank, and the bits of a place beside a rank in one number.
