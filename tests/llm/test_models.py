@@ -171,6 +171,20 @@ def test_ppm_is_brute_force(spark, docs, monkeypatch, held):
         assert r.score == pytest.approx(ppm_by_hand([t or "" for t in train], t), abs=1e-3)
 
 
+@pytest.mark.parametrize(("nodes", "held"), [(0, 1 << 20), (7, 2), (40, 1 << 20)])
+def test_ppm_of_a_trie_beyond_the_workers_is_brute_force(spark, docs, monkeypatch, nodes, held):
+    monkeypatch.setattr(ppm, "NODES", nodes)
+    monkeypatch.setattr(ppm, "HELD", held)
+    train = ["The cat sat on the mat.", "the cat ate the rat", "", None, "a b a b a c", "x" * 300]
+    test = ["the hat", "The\tCAT  sat", "", None, "zz é", "b a c a", "y" * 1000, train[0]]
+    model, others = ppm.learn(docs(list(enumerate(train))))
+    assert model.trie is None and model.grams.count() > nodes
+    rows = ppm.score(docs(list(enumerate(test)), ["_row", "_kind", "score"]), model, others).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(test)))
+    for r in rows:
+        assert r.score == pytest.approx(ppm_by_hand([t or "" for t in train], test[r.doc_id] or ""), abs=1e-3)
+
+
 def test_ppm_without_training_text(spark, docs):
     model, others = ppm.learn(docs([]))
     r = ppm.score(docs([(1, "ab c")]), model, others).first()
