@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import heapq
-import json
 import math
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import cut, read, shielded
+from loomwright.llm.common import BROADCAST_ROWS, cut, read, shielded
 
-#: Rows in a block; slots in a period, of which each source gets its share; rows ordered by one task.
+#: Rows in a block; blocks of a source in one row of the schedule; rows ordered by one task.
 BLOCK, PERIOD, BUCKET_ROWS = 64, 1_000, 65_536
 #: The weight of a source without a target is its number of rows to this power.
 POWER = 0.5
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period, by largest remainders, one at least; weights must be positive."""
+    """Slots of each source in a period, by largest remainders, one at least; weights must be positive.
+
+    For a look at a mix in whole slots; `mix` itself schedules by the exact weights.
+    """
     period = max(period, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
@@ -33,10 +39,17 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def pattern(share: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period.
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very ratio of the weights, each taken as the decimal that it is written as."""
+    ratios = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    common = math.lcm(*[r.denominator for r in ratios.values()])
+    return {s: int(r * common) for s, r in ratios.items()}
+
+
+def pattern(share: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, array]:
+    """The slots of each source, until one has no blocks left, or without blocks for sum(share) slots.
 
-    Block i of a source with share a of n slots is released at floor(i n / a) and due by
+    Block i of a source with share a of n is released at floor(i n / a) and due by
     ceil((i + 1) n / a). In each slot the released block with the earliest deadline goes (of equals,
     the first source by name). As the shares add up to n, no deadline is missed, so after any number
     of slots a source is less than one block from its target.
@@ -45,40 +58,36 @@ def pattern(share: dict[str, int]) -> dict[str, list[int]]:
     waiting = [(0, s, 0) for s in share]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(n):
+    out = {s: array("q") for s in share}
+    slot = 0
+    while blocks is not None or slot < n:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * n // share[s]), s, i))
         _, s, i = heapq.heappop(ready)
         out[s].append(slot)
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * n // share[s], s, i + 1))
+        if blocks is not None and i + 1 == blocks[s]:
+            break
+        heapq.heappush(waiting, ((i + 1) * n // share[s], s, i + 1))
+        slot += 1
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Rows (source, first block, first slot, period, slots) of a schedule for all blocks.
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, np.ndarray]:
+    """The slot of every block of each source.
 
     A phase lasts until a source has no blocks left; then the others go on, by their weights among
     themselves. So no block is dropped or repeated. Depends on counts and weights alone.
     """
-    done, start, rows = dict.fromkeys(blocks, 0), 0, []
-    left = {s for s, n in blocks.items() if n > 0}
+    left, start = {s: n for s, n in blocks.items() if n > 0}, 0
+    share, parts = exact({s: weights[s] for s in left}), {s: [] for s in left}
     while left:
-        share = shares({s: weights[s] for s in left}, period)
-        n, slots = sum(share.values()), pattern(share)
-
-        def slot_of(s: str, i: int, n: int = n, slots: dict = slots, share: dict = share) -> int:
-            return i // share[s] * n + slots[s][i % share[s]]
-
-        end = min(slot_of(s, blocks[s] - done[s] - 1) for s in left) + 1
-        for s in sorted(left):
-            rows.append({"source": s, "first": done[s], "slot": start, "period": n, "slots": slots[s]})
-            done[s] += end // n * share[s] + sum(x < end % n for x in slots[s])
-        start += end
-        left = {s for s in left if done[s] < blocks[s]}
-    return rows
+        slots = pattern({s: share[s] for s in left}, left)
+        for s, x in slots.items():
+            parts[s].append(np.frombuffer(x, np.int64) + start if len(x) else np.zeros(0, np.int64))
+        start += sum(map(len, slots.values()))
+        left = {s: n - len(slots[s]) for s, n in left.items() if n > len(slots[s])}
+    return {s: np.concatenate(x) for s, x in parts.items()}
 
 
 @shielded
@@ -94,9 +103,10 @@ def mix(
 
     A source's rows are ordered by a hash of the id and cut into blocks; the last may be short.
     mix_position is mix_slot * block + place in the block. A null source is the source ''. Weights
-    must be positive; sources that `weights` doesn't name get their row count to the power POWER,
+    must be positive and are met exactly; sources that `weights` doesn't name get their row count to the power POWER,
     scaled like a whole. The number of sources must be small enough for the driver; rows aren't
-    collected. Rows that repeat an id stay, side by side.
+    collected. The driver keeps 8 bytes a block, and hands the schedule on in rows of `period` blocks of a
+    source. Rows that repeat an id stay, side by side.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
@@ -109,15 +119,21 @@ def mix(
     per_source = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
     total = sum(n**POWER for n in per_source.values()) or 1.0
     target = {s: n**POWER / total for s, n in per_source.items()} | {s: w for s, w in (weights or {}).items() if s in per_source}
-    plan = phases({s: -(-n // block) for s, n in per_source.items()}, target, period)
-    schema = "array<struct<source string, first bigint, slot bigint, period bigint, slots array<bigint>>>"
-    spark = docs.sparkSession
-    schedule = (
-        spark.range(1)
-        .select(F.inline(F.from_json(F.lit(json.dumps(plan)), schema)))
-        .groupBy(F.col("source").alias("_source"))
-        .agg(F.sort_array(F.collect_list(F.struct("first", "slot", "period", "slots"))).alias("_phases"))
+    plan = phases({s: -(-n // block) for s, n in per_source.items()}, target)
+    parts = [(s, i // period, x[i : i + period]) for s, x in plan.items() for i in range(0, len(x), period)]
+    ends = np.cumsum([0, *[len(x) for _, _, x in parts]])
+    flat = np.concatenate([x for _, _, x in parts]) if parts else np.zeros(0, np.int64)
+    schedule = docs.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "_source": pa.array([s for s, _, _ in parts], pa.string()),
+                "_part": pa.array([k for _, k, _ in parts], pa.int64()),
+                "_slots": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+            }
+        )
     )
+    # a row of the schedule meets period * block rows at most, so there is no hot key
+    schedule = F.broadcast(schedule) if len(flat) <= BROADCAST_ROWS * 10 else schedule.hint("shuffle_merge")
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_source", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_order", id)
@@ -127,12 +143,10 @@ def mix(
         .join(before, ["_source", "_bucket"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
         .withColumn("mix_block", F.floor(F.col("_rank") / block).cast("long"))
-        .join(F.broadcast(schedule), "_source")
+        .withColumn("_part", F.floor(F.col("mix_block") / period).cast("long"))
+        .join(schedule, ["_source", "_part"])
     )
-    phase = F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("mix_block")), -1)
-    ranked = ranked.withColumn("_phase", phase)
-    turn, width = F.col("mix_block") - F.col("_phase.first"), F.size("_phase.slots").cast("long")
-    slot = F.col("_phase.slot") + F.floor(turn / width) * F.col("_phase.period") + F.get("_phase.slots", (turn % width).cast("int"))
+    slot = F.get("_slots", (F.col("mix_block") % period).cast("int"))
     return ranked.select(
         *[F.col(c) for c in docs.columns],
         "mix_block",

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -115,6 +116,29 @@ def test_mix_keeps_every_row_and_the_weights(spark, docs):
             assert abs(sum(next(iter(slots[k]))[0] == s for k in range(t)) - w * t) < 1
 
 
+def test_a_long_phase_stays_less_than_a_block_from_weights_that_no_period_holds():
+    blocks = {"hot": 6000, **{f"s{k:02}": 2000 for k in range(19)}, "tiny": 50}
+    weights = {"hot": (1 / 3) ** 0.5, **{f"s{k:02}": (2 / 57) ** 0.5 for k in range(19)}, "tiny": 0.0005}
+    plan, total = mixing.phases(blocks, weights), sum(weights.values())
+    assert sorted(x for v in plan.values() for x in v) == list(range(sum(blocks.values())))
+    end = min(v[-1] for v in plan.values()) + 1  # of the first phase
+    assert end > 30_000
+    for s, v in plan.items():
+        assert len(v) == blocks[s]
+        t = np.arange(end + 1)
+        assert np.abs(np.searchsorted(v, t) - t * (weights[s] / total)).max() < 1 + 1e-9
+
+
+def test_mix_follows_its_schedule_over_many_rows_of_it(docs, monkeypatch):
+    rows = [(i, "x", "a" if i % 5 else "b") for i in range(2000)]
+    plan = mixing.phases({"a": 400, "b": 100}, {"a": 1600**0.5, "b": 400**0.5})
+    for bound in (mixing.BROADCAST_ROWS, 0):  # the schedule is broadcast, or shuffled
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", bound)
+        found = mixing.mix(docs(rows), block=4, period=7).collect()
+        assert len(found) == len({r.mix_position for r in found}) == 2000
+        assert all(r.mix_slot == plan[r.source][r.mix_block] for r in found)
+
+
 def test_empty_tables(spark, docs):
     none, bench = docs([]), spark.createDataFrame([], "item_id long, text string")
     assert exact_dedup.exact_dedup(none).count() == 0
