@@ -31,8 +31,16 @@ BLOCKS = set(
 HOLDERS = set("address article aside blockquote body center dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul span p li h1 h2 h3 h4 h5 h6".split())
 SIDE = set("nav aside footer form menu dialog fieldset".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
+NAMING = {"class", "id", "role", "aria-label"}
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: Names for how a page is laid out: what it has besides, or where. Only the first kind can be on no
+#: boilerplate; an element of the second kind is a wrapper if an article stands in it.
+WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:left|right|both|one|two|layout|page)[_-](?:side|sidebar|nav|menu)|(?:side|sidebar|nav|menu)[_-](?:left|right|both|layout|page|open|closed))(?=$|\s)", re.I)
+#: The head of an article, which is none of the page.
+HEADLINE = re.compile(r"(?:^|(?<=\s))(?:article|entry|post|story)[_-]+header(?=$|\s)", re.I)
 BAD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner\w*|breadcrumb\w*|byline-links|combx|comment\w*|complementary|contentinfo|cookie\w*|"
     r"consent|copyright|disclaimer|disqus\w*|dialog|footer\w*|foot|gdpr|header|masthead|menu\w*|meta|modal\w*|nav\w*|newsletter\w*|notice\w*|"
@@ -42,6 +50,39 @@ BAD = re.compile(
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry\w*|main|post\w*|story\w*|text)(?=$|[\s_-])", re.I)
 
+#: How an element is boilerplate: not at all, by a name that a wrapper can have, by another name, or unseen.
+CLEAN, WRAPPER, NAMED, HIDDEN = range(4)
+
+
+def named(attributes: str) -> tuple[str, bool]:
+    """Names of an element that say what it is for, and whether it is hidden, of its attributes."""
+    names, hidden = [], False
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in NAMING:
+            names.append(value)
+            hidden = hidden or key == "class" and "hidden" in value.lower().split()
+        elif key == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif key == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif key == "style":
+            hidden = hidden or bool(UNSEEN.search(value))
+    return " ".join(names), hidden
+
+
+def badness(element: str, title: str, hidden: bool) -> int:
+    """One of CLEAN, WRAPPER, NAMED and HIDDEN for an element by itself."""
+    if hidden:
+        return HIDDEN
+    if not title or element in ("html", "body"):  # these hold the whole page
+        return CLEAN
+    title = HEADLINE.sub("", WITH.sub("", title))
+    if not BAD.search(title):
+        return CLEAN
+    return NAMED if BAD.search(LAYOUT.sub("", title)) else WRAPPER
+
+
 #: A small labelled table. Each line is a kind of block that was labelled by hand, and stands for all
 #: combinations of the values listed: inside a menu, form, footer or the like; inside an element named
 #: for boilerplate; inside the article; a heading; link density; words; words and link density of the
@@ -131,11 +172,11 @@ def trained() -> Tree:
 def blocks(page: str) -> list[Block]:
     """All text blocks in page order. A line break is white space; two in a row end a block."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, side, bad, main
+    stack: list[tuple[str, bool, int, bool]] = []  # element, side, bad, main
     parts: list[str] = []
     linked: list[str] = []
     links, breaks, head = 0, 0, 0
-    side = bad = main = False
+    side, bad, main = False, CLEAN, False
 
     def flush() -> None:
         nonlocal parts, linked
@@ -144,7 +185,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 inside = len(html.unescape("".join(linked)).split())
-                out.append(Block(text, n, min(1.0, inside / n), side, bad, main, head > 0))
+                out.append(Block(text, n, min(1.0, inside / n), side, bad > CLEAN, main, head > 0))
         parts, linked = [], []
 
     last = 0
@@ -189,22 +230,25 @@ def blocks(page: str) -> list[Block]:
                         flush()
                     del stack[i:]
                     break
-            side, bad, main = stack[-1][1:] if stack else (False, False, False)
+            side, bad, main = stack[-1][1:] if stack else (False, CLEAN, False)
             continue
         if name in ("p", "li", "span") or (name[0] == "h" and name[1:].isdigit()):
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-                side, bad, main = stack[-1][1:] if stack else (False, False, False)
+                side, bad, main = stack[-1][1:] if stack else (False, CLEAN, False)
             if "=" not in m[4] and "hidden" not in m[4]:
                 stack.append((name, side, bad, main))
                 continue
-        title = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])) if "=" in m[4] else ""
-        is_bad = bool(title and BAD.search(title)) or bool(m[4] and HIDDEN.search(m[4]))
+        title, hidden = named(m[4]) if m[4] else ("", False)
+        is_bad = badness(name, title, hidden)
         if name == "span" and is_bad:
             flush()
+        whole = name == "main" or bool(ROLE_MAIN.search(m[4]))
+        if bad == WRAPPER and name == "article" or CLEAN < bad < HIDDEN and whole:
+            bad = CLEAN  # what was taken for boilerplate is around the article
         inside = name in ("article", "main") or bool(title and not is_bad and GOOD.search(title))
-        is_side = name in SIDE or (name == "header" and not main)
-        stack.append((name, side or is_side, bad or is_bad, main or inside))
+        is_side = name in SIDE or (name == "header" and not main and not inside)
+        stack.append((name, side or is_side, max(bad, is_bad), main or inside))
         side, bad, main = stack[-1][1:]
     if last < len(page):
         parts.append(page[last:])

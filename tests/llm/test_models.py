@@ -210,6 +210,26 @@ def test_html(spark, small):
         assert r.n_chars == len(r.text) > 0
 
 
+@pytest.mark.parametrize(
+    "open_", ['<div style="overflow:hidden">', '<div class="overflow-hidden">', '<div title="a hidden gem" data-id="sidebar">', '<body class="single has-sidebar">',
+              '<body class="right-sidebar">', '<div class="page right-sidebar">', '<div class="no-sidebar">', '<div class="nav-wrap menu"><main>',
+              '<div class="menu"><div role="main">']
+)
+def test_a_wrapper_is_no_boilerplate(open_):
+    page = f'{open_}<article><header class="entry-header"><h1>The headline</h1></header><p>Text of the article, some words.</p></article>'
+    assert html_text.main_text(page) == "The headline\nText of the article, some words."
+
+
+@pytest.mark.parametrize(
+    "open_", ["<div hidden>", '<div style="color:red; display : none">', "<div style='visibility:hidden'>", "<div aria-hidden=true>", '<div class="box hidden">',
+              '<div class="comments"><article>', '<div id="sidebar"><article>', '<div class="right-sidebar"><div class="widget"><article>', "<div hidden><main>",
+              '<div class="footer"><div class="main">']
+)
+def test_what_is_hidden_or_beside_the_article_goes(open_):
+    page = f"<article><p>Text of the article, some words.</p></article>{open_}<p>" + "More words that nobody asked for. " * 9
+    assert html_text.main_text(page) == "Text of the article, some words."
+
+
 def test_the_tree_learns_its_table():
     x, y = html_text.labelled_blocks()
     tree = html_text.trained()
