@@ -19,7 +19,7 @@ from loomwright.llm.common import read, shielded
 #: Markup, in one pass: comments, declarations, elements whose content is no text, and tags.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|select|textarea|button|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|select|textarea|button|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )

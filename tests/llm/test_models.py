@@ -230,6 +230,12 @@ def test_what_is_hidden_or_beside_the_article_goes(open_):
     assert html_text.main_text(page) == "Text of the article, some words."
 
 
+def test_a_head_without_an_end_tag_keeps_the_page():
+    page = "<html><head><meta charset=utf-8><title>T</title><style>p {}</style><body><article><p>Text of the article."
+    assert html_text.main_text(page) == "Text of the article."
+    assert html_text.main_text(page.replace("<body>", "</head><body>")) == "Text of the article."
+
+
 def test_the_tree_learns_its_table():
     x, y = html_text.labelled_blocks()
     tree = html_text.trained()
