@@ -1,13 +1,19 @@
-"""Main text of web pages: flat text blocks, classified by a small decision tree."""
+"""Main text of web pages: flat text blocks, classified by a decision tree that labelled pages train.
+
+A page is cut into blocks of text. A block is described by its words and link density, those of the
+blocks before and after it, and what it stands in: an element for other things than the article (by
+its kind or its name), an element marked as the article, and the part of the page's text that its
+container holds. Names alone decide nothing: an element that is named for boilerplate but holds most
+of the page is a wrapper, and a mark on a small part of the text is none.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -15,118 +21,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import read, shielded
+from loomwright.llm.html_pages import labelled_pages
 
-#: Markup, in one pass: comments, declarations, elements whose content is no text, and tags.
+#: Attributes of a tag; a quote opens a value only after an equals sign, and only if it is closed.
+ATTRIBUTES = r"(?:\s++|/|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+#: Markup, in one pass: comments, declarations, elements whose content is raw text, and tags.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|select|textarea|button|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(script|style|iframe|noembed|noframes|noscript|textarea|title|xmp)\b{ATTRIBUTES}>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that can hold boilerplate or the article; only these are kept on the stack.
-HOLDERS = set("address article aside blockquote body center dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul span p li h1 h2 h3 h4 h5 h6".split())
-SIDE = set("nav aside footer form menu dialog fieldset".split())
+#: Elements whose text is none of the page's.
+UNREAD = set("audio button canvas datalist math object select svg template video".split())
+HEADS = {f"h{i}" for i in range(1, 7)}
+ITEMS = set("dd dt li td th tr".split())
+#: Elements that end with what they stand in; their own end tags reach no further than that.
+SMALL = {"p", "span", *HEADS, *ITEMS}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
-NAMING = {"class", "id", "role", "aria-label"}
+#: Elements for other things than the article. What holds most of a page can be a form, but none of the others.
+SIDE, SOFT = set("aside dialog footer menu nav".split()), {"fieldset", "form"}
+#: Elements that contain the blocks of one part of a page.
+PARTS = set("address article aside body center dialog div fieldset figure footer form html main menu nav section td th".split())
+HELD = BLOCKS | UNREAD | {"span"}
+
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = {"class", "id", "role", "aria-label", "itemprop"}
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-#: Names for how a page is laid out: what it has besides, or where. Only the first kind can be on no
-#: boilerplate; an element of the second kind is a wrapper if an article stands in it.
-WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
-LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:left|right|both|one|two|layout|page)[_-](?:side|sidebar|nav|menu)|(?:side|sidebar|nav|menu)[_-](?:left|right|both|layout|page|open|closed))(?=$|\s)", re.I)
+#: Names for how a page is laid out: what it has besides, or where.
+LAYOUT = re.compile(
+    r"(?:^|(?<=\s))(?:(?:has|with|no|without)[_-]\S+|(?:left|right|both|one|two|layout|page)[_-](?:side|sidebar|nav|menu)"
+    r"|(?:side|sidebar|nav|menu)[_-](?:left|right|both|layout|page|open|closed)|(?:left|right)\s+side)(?=$|\s)",
+    re.I,
+)
 #: The head of an article, which is none of the page.
 HEADLINE = re.compile(r"(?:^|(?<=\s))(?:article|entry|post|story)[_-]+header(?=$|\s)", re.I)
+TALK = re.compile(r"(?:^|[\s_-])(?:comment\w*|combx|disqus\w*|discussion\w*|remark\w*|repl(?:y|ies)|respond|shoutbox)(?=$|[\s_-])", re.I)
 BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner\w*|breadcrumb\w*|byline-links|combx|comment\w*|complementary|contentinfo|cookie\w*|"
-    r"consent|copyright|disclaimer|disqus\w*|dialog|footer\w*|foot|gdpr|header|masthead|menu\w*|meta|modal\w*|nav\w*|newsletter\w*|notice\w*|"
-    r"notification\w*|outbrain|overlay|pager|pagination|popup\w*|promo\w*|popular|recommend\w*|related\w*|remark\w*|repl(?:y|ies)|respond|rss|search\w*|share\w*|"
-    r"shoutbox|sidebar\w*|side|signup|site-header|skip\w*|skyscraper|social\w*|sponsor\w*|subscribe\w*|tags|toolbar|topbar|tracking|widget\w*)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner\w*|breadcrumb\w*|byline-links|complementary|contentinfo|cookie\w*|"
+    r"consent|copyright|disclaimer|dialog|footer\w*|foot|gdpr|header|login|masthead|menu\w*|meta|modal\w*|nav\w*|newsletter\w*|notice\w*|"
+    r"notification\w*|outbrain|overlay|pager|pagination|popup\w*|promo\w*|popular|recommend\w*|related\w*|rss|search\w*|share\w*|"
+    r"sidebar\w*|side|signup|site-header|skip\w*|skyscraper|social\w*|sponsor\w*|subscribe\w*|tags|toolbar|topbar|tracking|widget\w*)(?=$|[\s_-])",
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry\w*|main|post\w*|story\w*|text)(?=$|[\s_-])", re.I)
 
-#: How an element is boilerplate: not at all, by a name that a wrapper can have, by another name, or unseen.
-CLEAN, WRAPPER, NAMED, HIDDEN = range(4)
+#: How an element speaks against its text: not at all, by its name or as a form, as an element for
+#: something else or the readers' comments, or as it isn't seen.
+CLEAN, NAMED, OTHER, HIDDEN = range(4)
+#: How it speaks for it: not at all, by its name, or as article or main element.
+NONE, CALLED, MARKED = range(3)
+#: The part of a page's text from which a container is a wrapper of the whole, if it has the main
+#: headline or is a form, and otherwise; the part that elements marked as the article must hold, and named ones.
+MOST, NEARLY_ALL, MARKED_PART, CALLED_PART = 0.5, 0.8, 0.3, 0.5
 
-
-def named(attributes: str) -> tuple[str, bool]:
-    """Names of an element that say what it is for, and whether it is hidden, of its attributes."""
-    names, hidden = [], False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in NAMING:
-            names.append(value)
-            hidden = hidden or key == "class" and "hidden" in value.lower().split()
-        elif key == "hidden":
-            hidden = hidden or value.lower() != "false"
-        elif key == "aria-hidden":
-            hidden = hidden or value.strip().lower() == "true"
-        elif key == "style":
-            hidden = hidden or bool(UNSEEN.search(value))
-    return " ".join(names), hidden
-
-
-def badness(element: str, title: str, hidden: bool) -> int:
-    """One of CLEAN, WRAPPER, NAMED and HIDDEN for an element by itself."""
-    if hidden:
-        return HIDDEN
-    if not title or element in ("html", "body"):  # these hold the whole page
-        return CLEAN
-    title = HEADLINE.sub("", WITH.sub("", title))
-    if not BAD.search(title):
-        return CLEAN
-    return NAMED if BAD.search(LAYOUT.sub("", title)) else WRAPPER
-
-
-#: A small labelled table. Each line is a kind of block that was labelled by hand, and stands for all
-#: combinations of the values listed: inside a menu, form, footer or the like; inside an element named
-#: for boilerplate; inside the article; a heading; link density; words; words and link density of the
-#: block before and of the block after; whether it is text of the article.
-LABELLED = """
-side bad main head link words before_words before_link after_words after_link label
-1 0,1 0,1 0 0,0.3,1 1,8,60 2,50 0,1 2,50 0 0
-1 0,1 0,1 1 0 1,8 2,50 0 50 0 0
-0 1 0,1 0 0,0.3,1 1,8,60 2,50 0,1 2,50 0 0
-0 1 0,1 1 0 1,8 2,50 0 50 0 0
-0 0 1 0,1 0,0.1,0.3 1,2,4,8,15,40,120 0,3,60 0,1 3,60 0,1 1
-0 0 1 0,1 0,0.1 1,2,5,12,50 2,60 0 0 0 1
-0 0 1 0,1 0.8,1 2,6,12 40,80 0,0.1 40,80 0,0.1 1
-0 0 1 0 0.8,1 2,6,12 2,6 0.8,1 2,6 0.8,1 0
-0 0 0 0,1 0.6,0.8,1 1,3,8,20 0,3,60 0,1 3,60 0,1 0
-0 0 0 0 0,0.1,0.3 1,3,7 0,3,6 0,1 3,6 0,1 0
-0 0 0 1 0,0.1 2,5,9 0,3,50 0,1 40,60 0,0.1 1
-0 0 0 1 0,0.1 2,5,9 3,6 1 3,6 1 0
-0 0 0 0 0,0.1,0.3 12,18,25,60,120 0,3,8,50 0,1 0,4,50 0,1 1
-0 0 0 0 0,0.1 1,3,7 40,60 0,0.1 40,60 0,0.1 1
-"""
-COLUMNS = LABELLED.split("\n")[1].split()[:-1]
-
-
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """All labelled blocks: features in the order of COLUMNS, labels."""
-    rows = [r for line in LABELLED.strip().splitlines()[1:] for r in product(*[map(float, x.split(",")) for x in line.split()])]
-    table = np.array(rows)
-    return table[:, :-1], table[:, -1]
+FEATURES = "side bad main outside head item paragraph home own link words before_words before_link after_words after_link".split()
+#: Depth of the tree, and blocks in a leaf at least.
+DEPTH, LEAF = 9, 3
 
 
 @dataclass
 class Block:
-    """Text between two block boundaries, with what it stands in."""
+    """Text between two block boundaries: where it starts in the page, and what it stands in."""
 
     text: str
+    start: int
     words: int
     link: float
-    side: bool
-    bad: bool
-    main: bool
+    node: int
     head: bool
 
 
+@dataclass
+class Page:
+    """Blocks, and of each element that can hold some: the one it stands in, its name, what it speaks against and for."""
+
+    blocks: list[Block] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    element: list[str] = field(default_factory=list)
+    against: list[int] = field(default_factory=list)
+    given: list[int] = field(default_factory=list)
+
+
 @dataclass
 class Tree:
     """A binary decision tree; a leaf has no column."""
@@ -144,49 +124,83 @@ class Tree:
         return node.share >= 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
-    """Split by the least Gini impurity, until a node is pure or `depth` deep; of equal splits the first."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF) -> Tree:
+    """Split by the least Gini impurity, until a node is pure, `depth` deep or too small; of equal splits the first."""
     node = Tree(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
         return node
     best = None
     for j in range(x.shape[1]):
-        values = np.unique(x[:, j])
-        for at in (values[1:] + values[:-1]) / 2:
-            low = x[:, j] <= at
-            impurity = sum(len(s) * s.mean() * (1 - s.mean()) for s in (y[low], y[~low]))
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, j, float(at))
+        order = np.argsort(x[:, j], kind="stable")
+        value, good = x[order, j], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        left, right = good[:-1], good[-1] - good[:-1]
+        impurity = left * (1 - left / n) + right * (1 - right / (len(y) - n))
+        impurity[(value[1:] == value[:-1]) | (n < leaf) | (len(y) - n < leaf)] = np.inf
+        k = int(impurity.argmin()) if len(impurity) else -1
+        if k >= 0 and impurity[k] < (best[0] - 1e-9 if best else np.inf):
+            best = (float(impurity[k]), j, float((value[k] + value[k + 1]) / 2))
     if best is not None:
         _, node.column, node.at = best
         low = x[:, node.column] <= node.at
-        node.low, node.high = grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+        node.low, node.high = grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf)
     return node
 
 
-@cache
-def trained() -> Tree:
-    return grow(*labelled_blocks())
-
-
-def blocks(page: str) -> list[Block]:
-    """All text blocks in page order. A line break is white space; two in a row end a block."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # element, side, bad, main
+def evidence(element: str, attributes: str) -> tuple[int, int]:
+    """What an element speaks against and for its text, by itself."""
+    names, hidden = [], element in UNREAD
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in NAMING:
+            names.append(value)
+            hidden = hidden or key == "class" and "hidden" in value.lower().split()
+        elif key == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif key == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif key == "style":
+            hidden = hidden or bool(UNSEEN.search(value))
+    if hidden:
+        return HIDDEN, NONE
+    if element in ("html", "body"):  # these hold the whole page
+        return CLEAN, NONE
+    title = HEADLINE.sub("", LAYOUT.sub("", " ".join(names)))
+    against = OTHER if element in SIDE or TALK.search(title) else NAMED if element in SOFT or title and BAD.search(title) else CLEAN
+    if element in ("article", "main") or "articleBody" in names or "main" in names:
+        return against, MARKED
+    return against, CALLED if title and not against and GOOD.search(title) else NONE
+
+
+def parse(page: str) -> Page:
+    """All text blocks in page order, with the elements around them. A line break is white space; two in a row end a block."""
+    out = Page([], [-1], ["html"], [CLEAN], [NONE])
+    stack = [0]  # elements that are open
+    places: dict[str, list[int]] = {"html": [0]}  # of each kind of element, where in the stack it is
+    edges = [0]  # where in the stack the elements are whose end tags reach far
     parts: list[str] = []
     linked: list[str] = []
-    links, breaks, head = 0, 0, 0
-    side, bad, main = False, CLEAN, False
+    links, breaks, head, start = 0, 0, 0, -1
 
     def flush() -> None:
-        nonlocal parts, linked
-        if parts:
+        nonlocal parts, linked, start
+        if parts and start >= 0:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                inside = len(html.unescape("".join(linked)).split())
-                out.append(Block(text, n, min(1.0, inside / n), side, bad > CLEAN, main, head > 0))
-        parts, linked = [], []
+                inside = len(html.unescape("".join(linked)).split()) if linked else 0
+                out.blocks.append(Block(text, start, n, min(1.0, inside / n), stack[-1], head > 0))
+        if parts:
+            parts, linked = [], []
+        start = -1
+
+    def leave(to: int) -> None:
+        """Close all elements from this place of the stack on."""
+        for node in stack[to:]:
+            places[out.element[node]].pop()
+        del stack[to:]
+        while edges[-1] >= to:
+            edges.pop()
 
     last = 0
     for m in MARKUP.finditer(page):
@@ -195,15 +209,16 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             if links:
                 linked.append(text)
-            if breaks and not text.isspace():
+            if not text.isspace():
                 breaks = 0
+                if start < 0:
+                    start = last
         last = m.end()
-        name = m[3]
-        if name is None:
+        if m[3] is None:
             if m[1]:
                 parts.append(" ")
             continue
-        name, closing = name.lower(), bool(m[2])
+        name, closing = m[3].lower(), bool(m[2])
         if name == "a":
             links = 0 if closing else 1
             linked.append(" ")
@@ -217,75 +232,170 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             breaks = links = 0
-            if name[0] == "h" and name[1:].isdigit():
+            if name in HEADS:
                 head = 0 if closing else 1
             elif not closing:
                 head = 0
-        if name not in HOLDERS or name in VOID:
+            if not closing and out.element[stack[-1]] == "p":
+                leave(len(stack) - 1)
+        if name not in HELD or name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name == "span" and (stack[i][1], stack[i][2]) != (side, bad):
-                        flush()
-                    del stack[i:]
-                    break
-            side, bad, main = stack[-1][1:] if stack else (False, CLEAN, False)
+            at = places.get(name)
+            if at and at[-1] > 0 and (name not in SMALL or at[-1] > edges[-1]):
+                if any(out.against[node] != CLEAN for node in stack[at[-1] :]):
+                    flush()
+                leave(at[-1])
+            continue
+        if name in ("li", "dd", "dt", "td", "th", "tr") and places.get(name) and places[name][-1] > edges[-1]:
+            leave(places[name][-1])  # an item ends the one before it
+        if name == "svg" and m[4].endswith("/"):
             continue
-        if name in ("p", "li", "span") or (name[0] == "h" and name[1:].isdigit()):
-            if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-                side, bad, main = stack[-1][1:] if stack else (False, CLEAN, False)
-            if "=" not in m[4] and "hidden" not in m[4]:
-                stack.append((name, side, bad, main))
-                continue
-        title, hidden = named(m[4]) if m[4] else ("", False)
-        is_bad = badness(name, title, hidden)
-        if name == "span" and is_bad:
+        against, given = evidence(name, m[4])
+        if name == "header" and against < OTHER and not any(out.given[node] == MARKED for node in stack):
+            against = OTHER
+        if against and name not in BLOCKS:
             flush()
-        whole = name == "main" or bool(ROLE_MAIN.search(m[4]))
-        if bad == WRAPPER and name == "article" or CLEAN < bad < HIDDEN and whole:
-            bad = CLEAN  # what was taken for boilerplate is around the article
-        inside = name in ("article", "main") or bool(title and not is_bad and GOOD.search(title))
-        is_side = name in SIDE or (name == "header" and not main and not inside)
-        stack.append((name, side or is_side, max(bad, is_bad), main or inside))
-        side, bad, main = stack[-1][1:]
+        out.parent.append(stack[-1])
+        out.element.append(name)
+        out.against.append(against)
+        out.given.append(given)
+        if name not in SMALL:
+            edges.append(len(stack))
+        places.setdefault(name, []).append(len(stack))
+        stack.append(len(out.parent) - 1)
     if last < len(page):
         parts.append(page[last:])
+        if start < 0 and not page[last:].isspace():
+            start = last
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
+def described(page: Page) -> tuple[list[Block], list[list[float]]]:
+    """The blocks that are seen, and of each the FEATURES."""
+    n, parent, element = len(page.parent), page.parent, page.element
+    text = [0.0] * n  # words outside links, of each element's own blocks
+    headline = [False] * n
+    for b in page.blocks:
+        text[b.node] += b.words * (1 - b.link)
+        i = b.node
+        headline[i] = headline[i] or b.head
+    hard = [False] * n  # in an element for something else
+    for i in range(n):
+        hard[i] = page.against[i] >= OTHER or parent[i] >= 0 and hard[parent[i]]
+
+    def held(counts) -> list[float]:
+        """Words of each element with all inside it, of those where counts."""
+        total = [t if counts(i) else 0.0 for i, t in enumerate(text)]
+        for i in range(n - 1, 0, -1):
+            total[parent[i]] += total[i]
+        return total
+
+    free = held(lambda i: not hard[i])
+    named = [False] * n
+    for i in range(n):
+        named[i] = page.against[i] == NAMED or parent[i] >= 0 and named[parent[i]]
+    marked = any(page.given[i] == MARKED and not hard[i] and not named[i] and free[i] for i in range(n))
+    titled = [element[i] == "h1" and not hard[i] and headline[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        titled[parent[i]] = titled[parent[i]] or titled[i]
+    whole = max(free[0], 1.0)
+    bad = [False] * n
+    for i in range(n):
+        against = page.against[i] == NAMED
+        if against and not marked:  # a wrapper is no boilerplate
+            against = free[i] <= whole * (MOST if titled[i] or element[i] in SOFT else NEARLY_ALL)
+        elif against and element[i] in SOFT:
+            against = free[i] <= whole * MOST
+        bad[i] = against or parent[i] >= 0 and bad[parent[i]]
+
+    good = held(lambda i: not hard[i] and not bad[i])
+    whole = max(good[0], 1.0)
+    inside = [NONE] * n
+    for i in range(n):
+        given = NONE if hard[i] or bad[i] else page.given[i]
+        inside[i] = max(given, inside[parent[i]]) if parent[i] >= 0 and not hard[i] and not bad[i] else given
+    own = [0.0] * 3
+    for i in range(n):
+        if not hard[i] and not bad[i]:
+            own[inside[i]] += text[i]
+    if own[MARKED] and own[MARKED] >= MARKED_PART * whole:
+        level = MARKED
+    elif own[CALLED] + own[MARKED] >= CALLED_PART * whole and own[CALLED]:
+        level = CALLED
+    else:
+        level = MARKED + 1
+    part = [0] * n  # the container of each element
+    for i in range(n):
+        part[i] = i if element[i] in PARTS else part[parent[i]] if i else 0
+
+    direct = [0.0] * n
+    for i in range(n):
+        if not hard[i] and not bad[i]:
+            direct[part[i]] += text[i]
+
+    hidden = [False] * n
+    for i in range(n):
+        hidden[i] = page.against[i] == HIDDEN or parent[i] >= 0 and hidden[parent[i]]
+    seen = [b for b in page.blocks if not hidden[b.node]]
+    rows = []
+    for k, b in enumerate(seen):
+        i = b.node
+        before, after = seen[k - 1] if k else None, seen[k + 1] if k + 1 < len(seen) else None
+        rows.append(
+            [
+                float(hard[i]), float(bad[i]), float(inside[i] >= level), float(level <= MARKED and inside[i] < level),
+                float(b.head), float(element[i] in ITEMS), float(element[i] == "p"), good[part[i]] / whole, direct[part[i]] / whole, b.link, float(b.words),
+                float(before.words if before else 0), before.link if before else 0.0,
+                float(after.words if after else 0), after.link if after else 0.0,
+            ]
+        )
+    return seen, rows
+
+
+def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of the labelled pages: features in the order of FEATURES, labels."""
+    x, y = [], []
+    for text, lines in labelled_pages():
+        starts = np.array([a for a, _ in lines])
+        for b, row in zip(*described(parse(text)), strict=True):
+            label = lines[int(np.searchsorted(starts, b.start, "right")) - 1][1]
+            if label < 0:
+                raise ValueError(f"a line without a label has text: {b.text}")
+            x.append(row)
+            y.append(label)
+    return np.array(x), np.array(y)
+
+
+@cache
+def trained() -> Tree:
+    return grow(*labelled_blocks())
+
+
+def main_text(page: str | None, tree: Tree | None = None) -> str:
     """The article's blocks, one a line; '' for a null or empty page or one without an article."""
-    found = blocks(page or "")
-    tree, kept = trained(), []
-    has_main = any(b.main and not b.side and not b.bad for b in found)
-    for i, b in enumerate(found):
-        before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        if has_main and not b.main:  # beside a marked article everything else is outside it
-            continue
-        row = [
-            float(b.side), float(b.bad), float(b.main), float(b.head), b.link, float(b.words),
-            float(before.words if before else 0), before.link if before else 0.0,
-            float(after.words if after else 0), after.link if after else 0.0,
-        ]
-        if tree.says(row):
-            kept.append(b.text)
-    return "\n".join(kept)
+    tree = tree or trained()
+    return "\n".join(b.text for b, row in zip(*described(parse(page or "")), strict=True) if tree.says(row))
 
 
 @shielded
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:
-    """pages without the source, with text and n_chars (code points)."""
+    """pages without the source, with text and n_chars (code points).
+
+    Each row stands for itself: repeated rows stay, and an empty table stays empty. A null or empty
+    page has the text ''. Own columns text and n_chars are replaced. A page is worked on as a whole, in
+    time that grows with its length, however deep its markup.
+    """
     rest = [c for c in pages.columns if c not in (source, "text", "n_chars")]
     schema = pages.select(*rest, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    tree = trained()
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                text = [main_text(x) for x in part.column("_html").to_pylist()]
+                text = [main_text(x, tree) for x in part.column("_html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in rest], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*rest, "text", "n_chars"]
                 )
