@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read, shielded
+from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read, shielded, sieve, spread, text_key
 
 #: Words in a window that counts as contamination, and words in a hashed gram. Each run of WINDOW
 #: shared words holds WINDOW - GRAM + 1 grams, whose least hash is a fingerprint on both sides.
@@ -51,15 +51,23 @@ def fingerprints(shorts: list[int]) -> Column:
     return F.array_distinct(F.concat("_mins", *[F.col(f"_short{n}") for n in shorts]))
 
 
+def weight(df: DataFrame, *arrays: str) -> int:
+    """Rows of df and the entries of its arrays together."""
+    return df.agg(F.coalesce(F.sum(sum((F.size(a) for a in arrays), F.lit(1))), F.lit(0)).alias("n")).first()["n"]
+
+
 def shared_windows(
     docs: DataFrame, bench: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """(a narrow frame of all docs columns but text, with _text and n_words; hits by _text and n_words).
+    """(a narrow frame of all docs columns but text, with _text and n_words; hits by _text).
 
     A window is WINDOW consecutive words of an item, or a whole shorter item. Fingerprints of both
-    sides are joined, and each hit is compared word by word, so the hits are exact: _text (a hash of
-    the text), n_words, copies (rows with that text), n_hit (words inside some occurrence), items
-    (ids, sorted as strings). Null texts have no words; items without id or words have no windows.
+    sides are joined, and each hit is compared word by word, so the hits are exact: _text (128 bits of
+    a hash of the text), n_hit (words inside some occurrence), items (ids, sorted as strings), copies
+    (rows with that text). Null texts have no words; items without id or words have no windows.
+
+    The fingerprints of the items are broadcast if they were counted to be few. Then those of a document
+    are looked up in the scan, and only the hits are written. Otherwise both sides are shuffled.
     """
     items = cut(
         bench.filter("item_id is not null")
@@ -92,34 +100,32 @@ def shared_windows(
     item_windows = cut(item_windows)
 
     rest = [c for c in docs.columns if c != text]
-    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    scanned = fingerprinted(docs.select(*rest, hashed.alias("_text"), words_of(F.col(text)).alias("_words")), "_words", shorts)
-    narrow = cut(scanned.select(*rest, "_text", F.size("_words").cast("long").alias("n_words"), fingerprints(shorts).alias("_fps")))
-    n_rows = narrow.count()
-
-    small = item_prints.count() <= broadcast_rows
-    found = narrow.select("_text", "n_words", F.explode("_fps").alias("_fp")).join(
-        F.broadcast(item_prints) if small else item_prints, "_fp", "left_semi"
-    )
+    key = text_key(F.col(text))
+    scanned = fingerprinted(docs.select(*rest, key.alias("_text"), words_of(F.col(text)).alias("_words")), "_words", shorts)
+    scanned = scanned.select(*rest, "_text", F.size("_words").cast("long").alias("n_words"), fingerprints(shorts).alias("_fps"))
+    if item_prints.count() <= broadcast_rows:
+        # place 0 stands for the row itself, and is kept for every row
+        tried = scanned.select(*rest, "_text", "n_words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "_fps")).alias("_place", "_fp"))
+        tried = tried.join(F.broadcast(item_prints.withColumn("_is", F.lit(True))), "_fp", "left").filter("_place = 0 or _is")
+        own = [F.when(F.col("_place") == 0, F.col(c)).alias(c) for c in rest]
+        tried = cut(tried.select(*own, "_text", "n_words", "_place", "_fp"))
+        narrow = tried.filter("_place = 0").select(*rest, "_text", "n_words")
+        found = tried.filter("_place > 0").select("_text", "_fp")
+    else:
+        scanned = cut(scanned)
+        narrow = scanned.drop("_fps")
+        found = scanned.select("_text", F.explode("_fps").alias("_fp")).join(item_prints, "_fp", "left_semi")
     wanted = cut(
-        found.groupBy("_text", "n_words", "_fp")
+        found.groupBy("_text", "_fp")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy("_text", "n_words")
+        .groupBy("_text")
         .agg(F.collect_list("_fp").alias("_prints"), F.max("copies").alias("copies"))
     )
-    n_wanted = wanted.count()
-    texts = docs.select(
-        F.col(text).alias("_whole"), hashed.alias("_text"), F.monotonically_increasing_id().alias("_salt_by")
-    )
-    keyed = wanted.groupBy("_text").agg(
-        F.flatten(F.collect_list("_prints")).alias("_prints"), F.sum("copies").alias("copies")
-    )
-    texts = (
-        attach(texts, keyed, ["_text"], "copies", n_rows, n_wanted, F.col("_salt_by"), "_found", broadcast_rows)
-        .filter("_found is not null")
-        .select("_text", "_whole", F.col("_found._prints").alias("_prints"))
-        .dropDuplicates(["_text", "_whole"])
-    )
+    n_wanted = weight(wanted, "_prints")
+    # one row of each text, before the join
+    texts = sieve(docs.select(F.col(text).alias("_whole"), key.alias("_text")), F.xxhash64("_text"), wanted.select(F.xxhash64("_text").alias("_hash")), wanted.count())
+    texts = texts.filter("_maybe").groupBy("_text").agg(F.first("_whole").alias("_whole"))
+    texts = texts.join(F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted, "_text").select("_text", "_whole", "_prints")
     again = fingerprinted(texts.withColumn("_words", words_of(F.col("_whole"))).drop("_whole"), "_words", shorts)
 
     def starts(name: str, n: int) -> Column:
@@ -128,12 +134,10 @@ def shared_windows(
 
     hits = again.select(
         "_text",
-        F.size("_words").cast("long").alias("n_words"),
         "_words",
         F.explode(F.concat(starts("_mins", WINDOW), *[starts(f"_short{n}", n) for n in shorts])).alias("_hit"),
     ).select(
         "_text",
-        "n_words",
         "_hit.start",
         (F.col("_hit.start") + F.col("_hit.n")).alias("end"),
         F.array_join(F.transform(positions(F.col("_hit.n")), lambda j: F.get("_words", F.col("_hit.start") + j)), " ").alias("_window"),
@@ -148,37 +152,37 @@ def shared_windows(
             (state["n"] + gained).cast("long").alias("n"), F.greatest(state["end"], x["end"]).cast("int").alias("end")
         )
 
-    key = ["_text", "n_words"]
-    covered = hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    covered = hits.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     covered = covered.select(
-        *key,
+        "_text",
         F.aggregate(
             "_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("end")), step, lambda s: s["n"]
         ).alias("n_hit"),
     )
     named = (
-        hits.select(*key, "_window")
+        hits.select("_text", "_window")
         .distinct()
         .join(F.broadcast(item_windows) if few else item_windows, "_window")
-        .select(*key, "_item")
+        .select("_text", "_item")
         .distinct()
-        .groupBy(*key)
+        .groupBy("_text")
         .agg(F.sort_array(F.collect_list("_item")).alias("items"))
     )
-    result = covered.join(named, key).join(wanted.select(*key, "copies"), key)
-    return narrow.drop("_fps"), cut(result)
+    result = covered.join(named, "_text").join(wanted.select("_text", "copies"), "_text")
+    return narrow, cut(result)
 
 
 @shielded
 def decontaminate(
     docs: DataFrame, bench: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """All columns of docs but text, with n_words, n_hit, items (array of ids) and contaminated."""
+    """All columns of docs but text, with n_words, n_hit, items (array of ids) and contaminated.
+
+    A null or empty text has no words and no hits. Repeated rows stay. Own columns with these names are replaced.
+    """
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
     narrow, hits = shared_windows(docs, bench, text, broadcast_rows)
-    found = attach(
-        narrow, hits, ["_text", "n_words"], "copies", narrow.count(), hits.count(), F.monotonically_increasing_id(), "_hits", broadcast_rows
-    )
+    found = attach(narrow, hits, ["_text"], "copies", narrow.count(), weight(hits, "items"), spread(narrow), "_hits", broadcast_rows)
     return found.select(
         *[c for c in docs.columns if c != text],
         "n_words",
@@ -190,11 +194,10 @@ def decontaminate(
 
 @shielded
 def clean_of(docs: DataFrame, bench: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of docs, whole, that share no window with the benchmark."""
+    """The rows of docs, whole, that share no window with the benchmark. Rows without words, and repeats, stay."""
     narrow, hits = shared_windows(docs.select(text), bench, text, broadcast_rows)
-    keyed = hits.groupBy("_text").agg(F.sum("copies").alias("copies"), F.collect_set("n_words").alias("_sizes"))
-    rows = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = attach(rows, keyed, ["_text"], "copies", narrow.count(), hits.count(), F.col(text), "_hits", broadcast_rows)
+    rows = docs.withColumn("_text", text_key(F.col(text)))
+    found = attach(rows, hits.select("_text", "copies"), ["_text"], "copies", narrow.count(), hits.count(), spread(docs, text), "_hits", broadcast_rows)
     return found.filter("_hits is null").select(*docs.columns)
 
 

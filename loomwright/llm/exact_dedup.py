@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read, shielded
+from loomwright.llm.common import BROADCAST_ROWS, attach, cut, read, shielded, sieve, spread
 
 PREFIX = 64
+ADDED = ["keep_id", "group_size", "kept", "full_hash"]
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -16,62 +17,49 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-@shielded
-def exact_dedup(
-    docs: DataFrame,
-    text: str = "text",
-    id: str = "doc_id",
-    digest: str | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """docs with keep_id, group_size and kept, and a column full_hash where one was needed.
-
-    Rows are grouped by normalised length and the hash of the first PREFIX normalised characters;
-    only rows of groups of two or more get a full hash, and those are grouped by it. Of equal texts
-    the longest original stays, then the smallest id. `digest` may name a column that already holds
-    a hash of the whole normalised text; it is then used instead of hashing again.
-
-    Where there are more surviving groups than broadcast_rows, the hash is taken in the scan for all
-    rows, which is cheaper than sending texts through a shuffle.
-
-    Null text is empty text, and empty texts are equal to each other. A null id loses every tie.
-    Rows that repeat both id and text are one document: each has kept = (id = keep_id), and
-    `first_of_repeats` leaves one of them. Columns that clash with the ones added here are replaced.
-    """
+def measured(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the length of the normalised text, the hash of its first PREFIX characters, and the original's length."""
     norm = normalised(F.col(text))
-    added = ["keep_id", "group_size", "kept", "full_hash"]
-    docs = docs.drop(*added)
-    narrow = docs.select(
+    return docs.select(
+        "*",
         F.length(norm).alias("_len"),
         F.xxhash64(F.substring(norm, 1, PREFIX)).alias("_pre"),
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("_n"),
-        "*",
-    )
-    sizes = narrow.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_count"))
-    coarse = cut(sizes.filter("_count > 1"))
-    n_rows, n_coarse = docs.count(), coarse.count()
-    salt = F.coalesce(F.col(id).cast("string"), F.lit(""))
-    full = F.col(digest) if digest else F.sha2(norm, 256)
-    if n_coarse > broadcast_rows:
-        narrow = narrow.withColumn("full_hash", full)
-    marked = attach(narrow, coarse, ["_len", "_pre"], "_count", n_rows, n_coarse, salt, "_coarse", broadcast_rows)
-    if n_coarse > broadcast_rows:
-        full = F.col("full_hash")
-    rows = marked.withColumn("full_hash", F.when(F.col("_coarse").isNotNull(), full))
-    groups = cut(
-        rows.filter("full_hash is not null")
-        .groupBy("full_hash")
-        .agg(F.count(F.lit(1)).alias("_count"), F.max(F.struct("_n", (-F.col(id)).alias("neg"))).alias("_best"))
-        .filter("_count > 1")
-        .select("full_hash", "_count", (-F.col("_best.neg")).alias("_keep"))
-    )
-    rows = rows.withColumn("_key", F.coalesce("full_hash", F.lit("")))
-    found = attach(
-        rows, groups.withColumnRenamed("full_hash", "_key"), ["_key"], "_count", n_rows, groups.count(), salt, "_group", broadcast_rows
     )
+
+
+def refined(rows: DataFrame, id: str, full: Column, broadcast_rows: int, narrow: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with full_hash where one was needed, the groups of equal texts, the number of rows).
+
+    narrow has _len and _pre of all rows. Lengths that occur once are left out first, then prefix
+    hashes that occur once among the lengths that are left. The full hash is taken of what remains,
+    and of one in eight of the other rows (see `sieve`), which then are alone.
+    """
+    n_rows = narrow.count()
+    of_length, of_prefix = F.xxhash64("_len"), F.xxhash64("_len", "_pre")
+
+    def often(df: DataFrame, hashed: Column) -> DataFrame:
+        return cut(df.groupBy(hashed.alias("_hash")).agg(F.count(F.lit(1)).alias("_count")).filter("_count > 1").select("_hash"))
+
+    lengths = often(narrow, of_length)
+    left = sieve(narrow.select("_len", "_pre"), of_length, lengths, lengths.count()).filter("_maybe")
+    prefixes = often(left, of_prefix)
+    rows = sieve(rows, of_prefix, prefixes, prefixes.count())
+    rows = rows.withColumn("full_hash", F.when(F.col("_maybe"), full)).drop("_maybe")
+    hashed = cut(rows.filter("full_hash is not null").select("full_hash", F.col(id).alias("_id"), "_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
+    groups = hashed.groupBy("full_hash").agg(F.count(F.lit(1)).alias("_count"), best.alias("_best")).filter("_count > 1")
+    groups = cut(groups.select("full_hash", "_count", F.col("_best.id").alias("_keep")))
+    return rows, groups, n_rows
+
+
+def told(rows: DataFrame, groups: DataFrame, n_rows: int, id: str, columns: list[str], broadcast_rows: int) -> DataFrame:
+    """columns of rows, with keep_id, group_size, kept and full_hash."""
+    salt = spread(rows.select(id, "_pre"))
+    found = attach(rows, groups, ["full_hash"], "_count", n_rows, groups.count(), salt, "_group", broadcast_rows, complete=True)
     keep = F.when(F.col("_group").isNull(), F.col(id)).otherwise(F.col("_group._keep"))
     return found.select(
-        *[F.col(c) for c in docs.columns],
+        *columns,
         keep.alias("keep_id"),
         F.coalesce("_group._count", F.lit(1)).cast("long").alias("group_size"),
         (F.col("_group").isNull() | F.col(id).eqNullSafe(keep)).alias("kept"),
@@ -79,6 +67,24 @@ def exact_dedup(
     )
 
 
+@shielded
+def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with keep_id, group_size and kept, and a column full_hash where one was taken.
+
+    Rows are grouped by normalised length, then by the hash of the first PREFIX normalised characters;
+    only what is left gets a full hash, and is grouped by it. Of equal texts the longest original
+    stays, then the smallest id.
+
+    Null text is empty text, and empty texts are equal to each other. A null id loses every tie.
+    Rows that repeat both id and text are one document: each has kept = (id = keep_id), and
+    `first_of_repeats` leaves one of them. Columns that clash with the ones added here are replaced.
+    """
+    docs = docs.drop(*ADDED)
+    rows = measured(docs, text)
+    rows, groups, n_rows = refined(rows, id, F.sha2(normalised(F.col(text)), 256), broadcast_rows, cut(rows.select("_len", "_pre")))
+    return told(rows, groups, n_rows, id, docs.columns, broadcast_rows)
+
+
 def first_of_repeats(kept: DataFrame, columns: list[str], id: str = "doc_id") -> DataFrame:
     """The kept rows of exact_dedup, once each even where a row was repeated whole.
 
@@ -90,10 +96,17 @@ def first_of_repeats(kept: DataFrame, columns: list[str], id: str = "doc_id") ->
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document.
+
+    The result has the full hash of every text, so it is taken in the one scan that there is, and only
+    ids, lengths and hashes are worked on from there.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))
-    return exact_dedup(docs, digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows = measured(docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256)), "text")
+    narrow = cut(rows.select("doc_id", "_len", "_pre", "_n", F.unhex("text_sha256").alias("_sha")))
+    rows, groups, n_rows = refined(narrow, "doc_id", F.col("_sha"), BROADCAST_ROWS, narrow)
+    found = told(rows, groups, n_rows, "doc_id", ["doc_id", "_sha"], BROADCAST_ROWS)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
 OP8_SQL = r"""

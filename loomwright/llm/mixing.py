@@ -8,14 +8,15 @@ from array import array
 from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import BROADCAST_ROWS, cut, read, shielded
 
-#: Rows in a block; blocks of a source in one row of the schedule; rows ordered by one task.
+#: Rows in a block at least; blocks of a source in one row of the schedule; rows ordered by one task.
 BLOCK, PERIOD, BUCKET_ROWS = 64, 1_000, 65_536
+#: Blocks that are scheduled, about, and sources, at most: the driver keeps the schedule.
+BLOCKS, SOURCES = 1 << 20, 10_000
 #: The weight of a source without a target is its number of rows to this power.
 POWER = 0.5
 
@@ -96,44 +97,48 @@ def mix(
     weights: dict[str, float] | None = None,
     source: str = "source",
     id: str = "doc_id",
-    block: int = BLOCK,
+    block: int | None = None,
     period: int = PERIOD,
 ) -> DataFrame:
     """All rows of docs with mix_block (in its source), mix_slot and mix_position in the interleaved order.
 
     A source's rows are ordered by a hash of the id and cut into blocks; the last may be short.
-    mix_position is mix_slot * block + place in the block. A null source is the source ''. Weights
-    must be positive and are met exactly; sources that `weights` doesn't name get their row count to the power POWER,
-    scaled like a whole. The number of sources must be small enough for the driver; rows aren't
-    collected. The driver keeps 8 bytes a block, and hands the schedule on in rows of `period` blocks of a
-    source. Rows that repeat an id stay, side by side.
+    mix_position is mix_slot * block + place in the block. Without `block` one has BLOCK rows, doubled
+    until there are at most BLOCKS blocks and one for each source, so the driver keeps 8 MB of schedule
+    at any size, and hands it on in rows of `period` blocks of a source. A null source is the source ''.
+    Weights must be positive and are met exactly; sources that `weights` doesn't name get their row
+    count to the power POWER, scaled like a whole. More than SOURCES sources are an error: they are to
+    be mapped to groups first. Rows that repeat an id stay, side by side; those without an id are
+    ordered by a hash of their other columns. No rows are collected.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    hashed = F.xxhash64(F.col(id))
+    plain = [c for c, kind in docs.dtypes if c != id and "<" not in kind and kind != "variant"]
+
+    def hash_of(seed: int) -> Column:
+        return F.when(F.col(id).isNull(), F.xxhash64(F.lit(seed), *plain)).otherwise(F.xxhash64(F.lit(seed), F.col(id)))
+
     n_rows = docs.count()
     bits = min(30, max(8, math.ceil(math.log2(max(n_rows, 1) / BUCKET_ROWS)) if n_rows else 8))
-    bucket = F.shiftrightunsigned(hashed, 64 - bits)
-    order = F.xxhash64(F.lit(1), F.col(id))
+    bucket = F.shiftrightunsigned(hash_of(0), 64 - bits)
+    order = hash_of(1)
     counts = cut(docs.groupBy(key.alias("_source"), bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")))
-    per_source = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
+    sources = counts.groupBy("_source").agg(F.sum("_n").alias("n")).limit(SOURCES + 1).collect()
+    if len(sources) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: map them to groups and mix those")
+    per_source = {r["_source"]: r["n"] for r in sources}
+    if block is None:
+        block = BLOCK
+        while n_rows > block * BLOCKS:
+            block *= 2
     total = sum(n**POWER for n in per_source.values()) or 1.0
     target = {s: n**POWER / total for s, n in per_source.items()} | {s: w for s, w in (weights or {}).items() if s in per_source}
     plan = phases({s: -(-n // block) for s, n in per_source.items()}, target)
-    parts = [(s, i // period, x[i : i + period]) for s, x in plan.items() for i in range(0, len(x), period)]
-    ends = np.cumsum([0, *[len(x) for _, _, x in parts]])
-    flat = np.concatenate([x for _, _, x in parts]) if parts else np.zeros(0, np.int64)
-    schedule = docs.sparkSession.createDataFrame(
-        pa.table(
-            {
-                "_source": pa.array([s for s, _, _ in parts], pa.string()),
-                "_part": pa.array([k for _, k, _ in parts], pa.int64()),
-                "_slots": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
-            }
-        )
-    )
+    parts = [(s, i // period, x[i : i + period].tolist()) for s, x in sorted(plan.items()) for i in range(0, len(x), period)]
+    schedule = docs.sparkSession.createDataFrame(parts, "_source string, _part long, _slots array<long>")
+    n_slots = sum(len(x) for x in plan.values())
     # a row of the schedule meets period * block rows at most, so there is no hot key
-    schedule = F.broadcast(schedule) if len(flat) <= BROADCAST_ROWS * 10 else schedule.hint("shuffle_merge")
+    schedule = F.broadcast(schedule) if n_slots <= BROADCAST_ROWS * 10 else schedule.hint("shuffle_merge")
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_source", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_order", id)
