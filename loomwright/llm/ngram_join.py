@@ -5,8 +5,10 @@ band bucket one member is the centre, and the others are compared with it on the
 distance is a metric, so if one of two linked members is linked to the centre, the other is within
 twice the limit of it. Such members of a centre are its canopy, and links inside a canopy are counted
 block against block: no row stands for a pair, and blocks of members whose distances from the centre
-add up to no more than the limit are linked throughout and not compared at all. Members without a centre that many share are banded again,
-with longer bands that only similar sets have in common, and those pairs are enumerated and compared.
+add up to no more than the limit are linked throughout and not compared at all. Members that are linked
+to no such centre, but within three times the limit of one that many are near, are compared in blocks
+with all that they share a bucket with. What is left is banded again, with longer bands that only
+similar sets have in common, and those few pairs are enumerated and compared.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import Words, as_bytes, mixed, pieces
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read, shielded
+from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read, shielded, spread, text_key
 
 #: Words in an n-gram, least similarity, hashes in a band, part of the pairs at that similarity that meet.
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
@@ -104,7 +106,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     names=["_id", "_text", "_set", "_size", "_bands"],
                 )
 
-    return docs.mapInArrow(tell, "_id long, _text long, _set binary, _size long, _bands array<long>")
+    return docs.mapInArrow(tell, "_id long, _text binary, _set binary, _size long, _bands array<long>")
 
 
 def _banded(grams: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -160,8 +162,8 @@ def _counted(rows: DataFrame, threshold: float) -> DataFrame:
     """Links between the sets of two blocks of a canopy, or inside one, on their full n-gram sets.
 
     Gives (_set, null, w): copies of the sets that it is linked to, and (_set, other, null): links that
-    hold homes together. A pair belongs to the greatest home of its tight members, so that it is
-    counted in one canopy only; pairs of near members of a canopy in several blocks are left out.
+    hold nodes together, as few as do. A pair belongs to the greatest home of its tight members, so that
+    it is counted in one canopy only; pairs of near members of a canopy in several blocks are left out.
     """
     kind = "_set binary, other binary, w long"
 
@@ -170,7 +172,7 @@ def _counted(rows: DataFrame, threshold: float) -> DataFrame:
         order = np.lexsort((np.array(table["_set"].to_pylist(), object),)) if n else np.zeros(0, np.int64)
         table = table.take(pa.array(order))
         host = table["host"][0].as_py()
-        names, home = table["_set"].to_pylist(), table["home"].to_pylist()
+        names, home, node = table["_set"].to_pylist(), table["home"].to_pylist(), table["node"].to_pylist()
         tight, ring = np.array(table["tight"].to_pylist()), np.array(table["_ring"].to_pylist())
         copies, whole = np.array(table["_copies"].to_pylist()), table["_parts"][0].as_py() == 1
         mine = np.array(table["_mine"].to_pylist())
@@ -197,12 +199,17 @@ def _counted(rows: DataFrame, threshold: float) -> DataFrame:
         at = np.where(tight, np.array([rank[x] for x in home]), -1)
         link &= np.maximum(at[:, None], at) == rank[host]
         w = link @ copies
-        i, j = np.nonzero(np.triu(link))
-        apart = {(min(home[p], home[q]), max(home[p], home[q])): (names[p], names[q]) for p, q in zip(i, j, strict=True) if home[p] != home[q]}
+        label = np.arange(n)
+        while True:
+            low = np.minimum(label, np.where(link, label, n).min(axis=1, initial=n))
+            if (low == label).all():
+                break
+            label = low
+        apart = [(names[i], names[k]) for i, k in enumerate(label.tolist()) if node[i] != node[k]]
         return pa.table(
             {
-                "_set": pa.array([*names, *[p for p, _ in apart.values()]], pa.binary()),
-                "other": pa.array([*[None] * n, *[q for _, q in apart.values()]], pa.binary()),
+                "_set": pa.array([*names, *[p for p, _ in apart]], pa.binary()),
+                "other": pa.array([*[None] * n, *[q for _, q in apart]], pa.binary()),
                 "w": pa.array([*w.tolist(), *[None] * len(apart)], pa.int64()),
             }
         )
@@ -240,9 +247,10 @@ def near_duplicates(
     Words are runs of letters and digits, lower-cased in A-Z. class_id is the least id among the
     documents that links connect; n_links is the number of other documents with similarity of at
     least `threshold`; n_copies the number of documents with the same n-gram set, itself counted.
-    Texts without words (null too) are alone, with no links. A null id counts as the greatest id.
+    Texts without words (null too) are alone, with no links. Ids are whole numbers; a null id counts as
+    the greatest id, and rows that repeat an id are documents of their own. An empty table has no rows.
     """
-    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    hashed = text_key(F.col(text))
     source = docs.select(F.col(id).cast("long").alias("_id"), hashed.alias("_text"), F.col(text).alias("text"))
     signed = cut(_signed(source, width, band_count(threshold, rows, recall), rows))
     n_rows = signed.count()
@@ -255,7 +263,7 @@ def near_duplicates(
     buckets = cut(slots.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1"))
     n_slots, n_buckets = sets.count() * band_count(threshold, rows, recall), buckets.count()
     members = cut(
-        attach(slots, buckets, ["_key"], "_in", n_slots, n_buckets, F.col("_set"), "_bucket", broadcast_rows)
+        attach(slots, buckets, ["_key"], "_in", n_slots, n_buckets, F.col("_set"), "_bucket", broadcast_rows, complete=True)
         .filter("_bucket is not null")
         .select("_key", "_set", "_size", F.col("_bucket._in").alias("_in"))
     )
@@ -268,7 +276,7 @@ def near_duplicates(
         )
     ).select("_key", "_in", "_best.centre", "_best.centre_size")
     placed = cut(
-        attach(famous.drop("_in"), centres, ["_key"], "_in", n_slots, n_buckets, F.col("_set"), "_c", broadcast_rows).select(
+        attach(famous.drop("_in"), centres, ["_key"], "_in", n_slots, n_buckets, F.col("_set"), "_c", broadcast_rows, complete=True).select(
             "_key", "_set", "_size", "_fame", "_c.centre", "_c.centre_size"
         )
     )
@@ -277,7 +285,7 @@ def near_duplicates(
         """What the sizes allow for a similarity of `least`."""
         return F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
 
-    near, wide = 1 - threshold, 1 - 2 * (1 - threshold)
+    near, wide, far = 1 - threshold, 1 - 2 * (1 - threshold), 1 - 3 * (1 - threshold)
     limit = int(round(near * STEPS))
     bin = F.ceil((F.col("either") - F.col("both")) * STEPS / F.col("either") - F.lit(1e-9)).cast("int")
     is_link = F.col("both") >= F.col("either") * (threshold - 1e-9)
@@ -285,15 +293,15 @@ def near_duplicates(
     texts = only(source.select("_text", "text"), wanted, "_text", wanted.count(), broadcast_rows).dropDuplicates(["_text"])
     grams = cut(_grams_of(texts.select("text"), width))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with the rounded distance and whether they are linked, as far as the canopy goes."""
-        found = _compared(pairs, grams).select("a", "b", F.least(bin, F.lit(2 * limit + 1)).alias("bin"), is_link.alias("link"))
-        return cut(found.filter(F.col("link") | (F.col("bin") <= 2 * limit)))
+    def compared(pairs: DataFrame, reach: int) -> DataFrame:
+        """pairs (a, b) with the rounded distance and whether they are linked, as far as `reach` times the limit."""
+        found = _compared(pairs, grams).select("a", "b", F.least(bin, F.lit(reach * limit + 1)).alias("bin"), is_link.alias("link"))
+        return cut(found.filter(F.col("link") | (F.col("bin") <= reach * limit)))
 
     stars = cut(
-        placed.filter("_set <> centre").filter(fits("_size", "centre_size", wide)).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct()
+        placed.filter("_set <> centre").filter(fits("_size", "centre_size", far)).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct()
     )
-    starred = compared(stars)
+    starred = compared(stars, 3)
     # each set's home is the centre with most links that it is linked to, or itself; small ones don't count
     degree = cut(starred.filter("link").groupBy("a").agg(F.count(F.lit(1)).alias("_links")))
     choice = starred.filter("link").join(degree, "a").select(F.col("b").alias("_set"), F.struct("_links", F.col("a").alias("home")).alias("_c"))
@@ -303,7 +311,7 @@ def near_duplicates(
     hosts = cut(chosen.groupBy(F.col("home").alias("host")).agg(F.count(F.lit(1)).alias("_guests")).filter("_guests > 1"))
     hosts = cut(hosts.join(fame.withColumnRenamed("_set", "host"), "host").filter((F.col("_guests") >= HOST) | (F.col("_fame") <= FEW)).drop("_fame"))
     is_host = cut(chosen.join(hosts.select(F.col("host").alias("_set"), F.lit(True).alias("_is")), "_set", "left"))
-    with_home = attach(is_host, hosts.withColumnRenamed("host", "home"), ["home"], "_guests", n_slots, hosts.count(), F.col("_set"), "_h", broadcast_rows)
+    with_home = attach(is_host, hosts.withColumnRenamed("host", "home"), ["home"], "_guests", n_slots, hosts.count(), F.col("_set"), "_h", broadcast_rows, complete=True)
     settled = with_home.select(
         "_set",
         F.when(F.col("_h").isNotNull(), F.col("home")).otherwise(F.col("_set")).alias("home"),
@@ -316,45 +324,65 @@ def near_duplicates(
     others = others.join(sets.select(F.col("_set").alias("a"), F.col("_size").alias("a_size")), "a")
     guests = others.hint("shuffle_merge").join(lodged.select("_key", "_set", "_size"), "_key").filter((F.col("a") != F.col("_set")) & fits("_size", "a_size", wide))
     guests = guests.select("a", F.col("_set").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    visited = starred.union(compared(guests))
-    # pairs of which neither has a home
+    visited = starred.filter(F.col("link") | (F.col("bin") <= 2 * limit)).union(compared(guests, 2))
+
+    def in_blocks(canopy: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """canopy (host, _set, _size, _copies, home, node, tight, _ring) of at least so many sets: their blocks, links, sizes."""
+        sizes = cut(canopy.groupBy("host").agg(F.count(F.lit(1)).alias("_in"), F.sum("_size").alias("_grams")))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("_in") / BLOCK_SETS), F.ceil(F.col("_grams") / BLOCK_GRAMS)).cast("long")
+        dealt = attach(canopy, sizes.withColumn("_parts", parts), ["host"], "_in", canopy.count(), sizes.count(), F.col("_set"), "_s", broadcast_rows, complete=True)
+        # ring 0: near (all linked to each other), 1: the rest; blocks of either by a hash
+        block = F.when(F.col("_s._parts") == 1, F.lit(0)).otherwise(F.col("_ring") * F.col("_s._parts") + F.pmod(F.xxhash64("_set"), F.col("_s._parts")))
+        dealt = cut(
+            dealt.filter(F.col("_s._in") >= least).select("host", "_set", "home", "node", "tight", "_copies", F.col("_s._parts").alias("_parts"), "_ring", block.cast("long").alias("_block"))
+        )
+        blocks = dealt.groupBy("host", "_block").agg(F.first("_parts").alias("_parts"), F.max("_ring").alias("_ring"))
+        one, two = blocks, blocks.select("host", F.col("_block").alias("_other"), F.col("_ring").alias("_other_ring"))
+        turns = one.join(two, "host").filter("_block <= _other and (_parts = 1 or _ring = 1 or _other_ring = 1)")
+        turns = cut(turns.select("host", "_block", "_other"))
+        sides = turns.select("host", F.col("_block").alias("_mine"), "_block", "_other").union(
+            turns.filter("_block <> _other").select("host", F.col("_other").alias("_mine"), "_block", "_other")
+        )
+        full = dealt.withColumnRenamed("_block", "_mine").join(grams.hint("shuffle_merge"), "_set").join(sides, ["host", "_mine"])
+        return dealt, cut(_counted(full, threshold)), sizes
+
+    copies = sets.select("_set", "_size", "_copies")
+    # sets without a home: those near a centre that many such are near go to its canopy, with all they share a bucket with
     loose = cut(lodged.filter("not tight").select("_set", "_size").distinct())
+    around = starred.select("a", F.col("b").alias("_set")).join(loose.select("_set").hint("shuffle_merge"), "_set", "left_semi")
+    company = cut(around.groupBy("a").agg(F.count(F.lit(1)).alias("_near")).filter(F.col("_near") >= HOST))
+    lodging = around.join(company, "a").select("_set", F.struct("_near", F.col("a").alias("home")).alias("_c"))
+    landlord = company.join(loose, company["a"] == loose["_set"]).select("_set", F.struct("_near", F.col("a").alias("home")).alias("_c"))
+    lodging = cut(lodging.union(landlord).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", F.col("_c.home").alias("_lodging")))
+    seated = cut(lodged.filter("not tight").select("_key", "_set").join(lodging, "_set", "left"))
+    tables = seated.filter("_lodging is not null").select("_key", F.col("_lodging").alias("host")).distinct()
+    outer = tables.hint("shuffle_merge").join(seated, "_key").select("host", "_set", "_lodging").distinct().join(copies, "_set")
+    outer = cut(
+        outer.select("host", "_set", "_size", "_copies", F.coalesce("_lodging", "_set").alias("home"), F.col("_set").alias("node"), F.col("_lodging").isNotNull().alias("tight"), F.lit(1).alias("_ring"))
+    )
+    _, told_outer, _ = in_blocks(outer, 2)
+    # pairs of which neither has either
+    loose = cut(loose.join(lodging.hint("shuffle_merge"), "_set", "left_anti"))
     keyed = _banded(grams.join(loose.select("_set").hint("shuffle_merge"), "_set", "left_semi"), band_count(threshold, LONG_ROWS, recall), LONG_ROWS)
     keyed = cut(keyed.select("_set", F.explode("_bands").alias("_key")))
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1").select("_key")
     keyed = cut(keyed.join(shared.hint("shuffle_merge"), "_key").join(loose, "_set"))
     left, right = keyed.select("_key", F.col("_set").alias("a"), F.col("_size").alias("a_size")), keyed.withColumnRenamed("_set", "b")
     strays = left.hint("shuffle_merge").join(right, "_key").filter((F.col("a") < F.col("b")) & fits("_size", "a_size", threshold))
-    strays = cut(compared(strays.select("a", "b").distinct()).filter("link").select("a", "b"))
+    strays = cut(compared(strays.select("a", "b").distinct(), 1).filter("link").select("a", "b"))
 
     # canopies: all sets within twice the limit of a host
-    copies = sets.select("_set", "_size", "_copies")
     canopy = visited.join(hosts.select(F.col("host").alias("a")), "a").select(F.col("a").alias("host"), F.col("b").alias("_set"), "bin")
     canopy = canopy.union(hosts.select("host", F.col("host").alias("_set"), F.lit(0).alias("bin")))
-    canopy = cut(canopy.join(settled, "_set").join(copies, "_set"))
-    sizes = cut(canopy.groupBy("host").agg(F.count(F.lit(1)).alias("_in"), F.sum("_size").alias("_grams")))
-    n_canopy = canopy.count()
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_in") / BLOCK_SETS), F.ceil(F.col("_grams") / BLOCK_GRAMS)).cast("long")
-    spread = attach(canopy, sizes.withColumn("_parts", parts), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_s", broadcast_rows)
-    # 0: near (all linked to each other), 1: the rest; blocks of either by a hash
     ring = F.when((F.col("home") == F.col("host")) & (F.col("bin") * 2 <= limit), 0).otherwise(1)
-    block = F.when(F.col("_s._parts") == 1, F.lit(0)).otherwise(ring * F.col("_s._parts") + F.pmod(F.xxhash64("_set"), F.col("_s._parts")))
-    spread = cut(
-        spread.filter("_s._in > 2").select("host", "_set", "home", "tight", "bin", "_copies", F.col("_s._parts").alias("_parts"), ring.alias("_ring"), block.cast("long").alias("_block"))
-    )
-    blocks = spread.groupBy("host", "_block").agg(F.first("_parts").alias("_parts"), F.max("_ring").alias("_ring"))
-    one, two = blocks, blocks.select("host", F.col("_block").alias("_other"), F.col("_ring").alias("_other_ring"))
-    turns = one.join(two, "host").filter("_block <= _other and (_parts = 1 or _ring = 1 or _other_ring = 1)")
-    turns = cut(turns.select("host", "_block", "_other"))
-    sides = turns.select("host", F.col("_block").alias("_mine"), "_block", "_other").union(
-        turns.filter("_block <> _other").select("host", F.col("_other").alias("_mine"), "_block", "_other")
-    )
-    full = spread.withColumnRenamed("_block", "_mine").join(grams.hint("shuffle_merge"), "_set").join(sides, ["host", "_mine"])
-    told = cut(_counted(full, threshold))
+    canopy = cut(canopy.join(settled, "_set").join(copies, "_set").withColumn("node", F.col("home")).withColumn("_ring", ring))
+    n_canopy = canopy.count()
+    dealt, told, sizes = in_blocks(canopy, 3)
+    told = told.union(told_outer)
     # near members of a canopy in blocks are all linked
-    rings = spread.filter("_parts > 1 and _ring = 0").groupBy("host").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_in"))
-    near_ones = spread.filter("_parts > 1 and _ring = 0")
-    implied = attach(near_ones, cut(rings), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_r", broadcast_rows)
+    rings = dealt.filter("_parts > 1 and _ring = 0").groupBy("host").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_in"))
+    near_ones = dealt.filter("_parts > 1 and _ring = 0")
+    implied = attach(near_ones, cut(rings), ["host"], "_in", n_canopy, sizes.count(), F.col("_set"), "_r", broadcast_rows, complete=True)
     implied = implied.select("_set", (F.col("_r._all") - F.col("_copies")).alias("w"))
     # a canopy of two is one pair, and a stray pair is counted as it is
     linked = visited.filter("link").select(F.col("a").alias("host"), F.col("b").alias("_set"))
@@ -379,7 +407,7 @@ def near_duplicates(
         .select("_set", "_least", F.coalesce("label", "home").alias("_label"), F.coalesce("_links", F.lit(0)).alias("_links"))
     )
     classes = cut(named.groupBy("_label").agg(F.min("_least").alias("class_id"), F.count(F.lit(1)).alias("_in")))
-    named = attach(named, classes, ["_label"], "_in", n_slots, classes.count(), F.col("_set"), "_k", broadcast_rows).select(
+    named = attach(named, classes, ["_label"], "_in", n_slots, classes.count(), F.col("_set"), "_k", broadcast_rows, complete=True).select(
         "_set", "_links", F.col("_k.class_id").alias("class_id")
     )
     # sets that meet no other have only their own copies
@@ -388,8 +416,8 @@ def near_duplicates(
         .filter("_copies > 1 or _links > 0")
         .select("_set", "_copies", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("class_id", "_least").alias("class_id"))
     )
-    keyed = signed.select("_id", "_text", F.coalesce("_set", F.lit(b"")).alias("_set"))
-    found = attach(keyed, whole, ["_set"], "_copies", n_rows, whole.count(), F.col("_id"), "_w", broadcast_rows)
+    keyed = signed.select("_id", "_text", "_set")
+    found = attach(keyed, whole, ["_set"], "_copies", n_rows, whole.count(), spread(keyed), "_w", broadcast_rows, complete=True)
     return found.select(
         F.col("_id").alias(id),
         "_text",
@@ -401,18 +429,21 @@ def near_duplicates(
 
 @shielded
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of docs, whole, with the least id of each class of near duplicates; one if it repeats."""
+    """The rows of docs, whole, with the least id of each class of near duplicates; one if it repeats.
+
+    A null id counts as the greatest. Texts without words stay, all of them.
+    """
     found = cut(near_duplicates(docs, text, id, broadcast_rows=broadcast_rows))
     linked = found.filter("n_links > 0")
     first = linked.filter(F.col(id).eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_class")).agg(F.min("_text").alias("_first"), F.count(F.lit(1)).alias("_times"))
     judged = cut(
         linked.join(first, F.col(id).eqNullSafe(F.col("_class")), "left")
-        .select(F.coalesce(id, F.lit(-1)).alias("_id"), "_text", F.coalesce(F.col("_first") == F.col("_text"), F.lit(False)).alias("_stays"), "_times")
+        .select(F.col(id).alias("_of"), F.col("_text").alias("_whose"), F.coalesce(F.col("_first") == F.col("_text"), F.lit(False)).alias("_stays"), "_times")
         .distinct()
     )
-    rows = docs.select("*", F.coalesce(F.col(id).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    rows = docs.select("*", F.col(id).cast("long").alias("_id"), text_key(F.col(text)).alias("_text"))
     few = judged.count() <= broadcast_rows
-    told = rows.join(F.broadcast(judged) if few else judged, ["_id", "_text"], "left")
+    told = rows.join(F.broadcast(judged) if few else judged, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_whose")), "left")
     once = told.filter("_stays is null or _stays and _times = 1").select(*docs.columns)
     repeated = told.filter("_stays and _times > 1").dropDuplicates(["_id", "_text"]).select(*docs.columns)
     return once.unionByName(repeated)
