@@ -6,6 +6,7 @@ import atexit
 import math
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from functools import wraps
 
@@ -33,7 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     this process, gets a temporary folder where that is unset. Spark deletes what is no longer used
     if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
+    made_shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def made_shared(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set here if it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +49,27 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="loomwright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+class Rounds:
+    """Frames that a loop cuts in each round, written as tables in the shared folder; older ones are deleted.
+
+    A checkpoint hands on the size that Spark estimates, which multiplies in joins: after some rounds of
+    joins it has so many digits that planning takes longer than the query, and longer with each round.
+    A table has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{made_shared(spark)}/rounds-{uuid.uuid4().hex}", []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        if len(self.paths) > 2:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[-3])
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
 
 def spread(df: DataFrame, *skip: str) -> Column:

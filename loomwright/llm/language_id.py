@@ -14,7 +14,7 @@ from loomwright.llm.common import in_fold, labelled, read, shielded
 
 #: Entries of a hypervector, letters told apart, letters in a gram.
 SIZE, LETTERS, GRAM = 512, 4096, 3
-#: Labelled documents that the prototypes are bundled from, at most.
+#: Labelled documents that the prototypes are bundled from, and half as many more of rare languages, at most.
 SAMPLE = 8_000
 SHARPNESS = 24.0
 #: Rows of gram vectors that are in memory at once.
@@ -82,16 +82,51 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, letters
 
 
+def bundled(texts: list[str | None], place: np.ndarray, n: int) -> np.ndarray:
+    """For each of n languages the sum of its unit documents; place says which each text has."""
+    vectors, letters = bundles(texts)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    total = np.zeros((n, SIZE))
+    np.add.at(total, place, vectors * (letters > 0)[:, None])
+    return total
+
+
+def unit(total: np.ndarray) -> np.ndarray:
+    return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def prototypes(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Learned language names, sorted, and a unit vector for each: the sum of its unit documents."""
-    names = sorted(set(langs))
-    total = np.zeros((len(names), SIZE), np.float64)
-    place = {x: i for i, x in enumerate(names)}
+    names, place = np.unique(np.array(langs, object), return_inverse=True) if langs else ([], np.zeros(0, int))
+    total = np.zeros((len(names), SIZE))
     for a in range(0, len(texts), 256):
-        vectors, letters = bundles(texts[a : a + 256])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        np.add.at(total, [place[x] for x in langs[a : a + 256]], vectors * (letters > 0)[:, None])
-    return names, (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        total += bundled(texts[a : a + 256], place[a : a + 256], len(names))
+    return list(names), unit(total)
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """`prototypes` of docs (doc_id, text) with labels (doc_id, label), of about `bound` rows, rare languages included.
+
+    Texts are bundled where they are; the driver gets one vector of SIZE numbers for each language.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for piece in pieces(batch):
+                names, place = np.unique(np.array(piece.column("label").to_pylist(), object), return_inverse=True)
+                for name, row in zip(names, bundled(piece.column("text").to_pylist(), place, len(names)), strict=True):
+                    total[name] = total.get(name, 0.0) + row
+        for name, row in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([row.tolist()], pa.list_(pa.float64()))], names=["label", "row"])
+
+    sample = labelled(docs, labels, bound, every_label=True).select("text", F.col("label").cast("string").alias("label"))
+    parts = sample.mapInArrow(tell, "label string, row array<double>").select("label", F.posexplode("row").alias("at", "x"))
+    found = parts.groupBy("label", "at").agg(F.sum("x").alias("x")).toArrow()
+    names = sorted(set(found["label"].to_pylist()))
+    total = np.zeros((len(names), SIZE))
+    total[[names.index(x) for x in found["label"].to_pylist()], found["at"].to_numpy()] = found["x"].to_numpy()
+    return names, unit(total)
 
 
 @shielded
@@ -100,7 +135,8 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, text: str =
 
     lang_pred is the language whose prototype has the greatest cosine with the text (of equals the
     first name); score is its share of the softmax of the cosines. A text that is null or has no
-    letter is `und` with score 0, as is every text if no language was learned.
+    letter is `und` with score 0, as is every text if no language was learned. Each row stands for
+    itself, repeated rows too; own columns lang_pred and score are replaced.
     """
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = docs.select(*rest, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -129,7 +165,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from rows with crc32(doc_id) % 5 <> 0."""
     docs = read(spark, sf_dir, "documents")
     training = docs.filter(~in_fold(F.col("doc_id"), 5, 0)).select("doc_id", F.col("lang").alias("label"))
-    sample = labelled(docs.select("doc_id", "text"), training, SAMPLE).select("text", "label").toArrow()
-    names, vectors = prototypes(sample["text"].to_pylist(), sample["label"].to_pylist())
+    names, vectors = learn(docs.select("doc_id", "text"), training)
     held = docs.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "text")
     return identify(held, names, vectors)

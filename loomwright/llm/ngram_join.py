@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import Words, as_bytes, mixed, pieces
-from loomwright.llm.common import BROADCAST_ROWS, attach, cut, only, read, shielded, spread, text_key
+from loomwright.llm.common import BROADCAST_ROWS, Rounds, attach, cut, only, read, shielded, spread, text_key
 
 #: Words in an n-gram, least similarity, hashes in a band, part of the pairs at that similarity that meet.
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
@@ -219,13 +219,14 @@ def _counted(rows: DataFrame, threshold: float) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the same for all nodes that edges (a, b) connect; label is the least node."""
+    rounds = Rounds(edges.sparkSession)
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = rounds.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         lower = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old"))
         of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        fresh = cut(lower.join(of_label, "label", "left").select("node", F.least("label", "_next").alias("label"), "_old"))
+        fresh = rounds.cut(lower.join(of_label, "label", "left").select("node", F.least("label", "_next").alias("label"), "_old"))
         changed = fresh.filter("label <> _old").limit(1).count()
         labels = fresh.select("node", "label")
         if not changed:

@@ -309,7 +309,8 @@ def score(docs: DataFrame, model: Model, others: DataFrame, text: str = "text")
 
     base_score is the sum of log10((c + 1) / (N + V + 1)) over a text's tokens, of which the last is
     the end token; c is 0 for unknown tokens. Null is the empty text, whose only token is the end.
-    Without training documents c, N and V are 0 and each byte has probability 1/256.
+    Without training documents c, N and V are 0 and each byte has probability 1/256. Each row stands for
+    itself, repeated rows too; own columns with these names are replaced.
     """
     context = docs.sparkSession.sparkContext
     joined = others.select(F.lit(WORD).alias("_kind"), F.col("key").alias("_key"), F.log10(F.col("n") + 1).alias("_value"))

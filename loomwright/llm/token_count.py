@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +166,12 @@ class Merger:
         return out
 
 
+@cache
+def of_path(path: str) -> Merger:
+    """One for each worker, which its tasks share."""
+    return Merger(path)
+
+
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[0x20] = False
 
@@ -173,14 +180,15 @@ NOT_SPACE[0x20] = False
 def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs without the text, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Null and empty texts have no tokens. The model is read by each worker from its path, as the
+    Null and empty texts have no tokens. Each row stands for itself, repeated rows too; own columns
+    n_bytes, n_tokens and over_limit are replaced. The model is read by each worker from its path, as the
     library's own files are installed on all of them.
     """
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     schema = docs.select(*rest, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(model)
+        merger = of_path(model)
         for batch in batches:
             for piece in pieces(batch, "_text"):
                 n = merger.counts(piece.column("_text"))

@@ -49,6 +49,26 @@ def test_language(spark, small, docs):
     assert language_id.identify(docs([(0, "a")]), [], np.zeros((0, language_id.SIZE), np.float32)).first().lang_pred == "und"
 
 
+def test_prototypes_are_learned_in_the_workers_and_rare_languages_are_among_them(spark, docs):
+    rows = [(i, f"the cat and the dog number {i}") for i in range(60)] + [(100, "der Hund und die Katze"), (101, "ein Hund")]
+    labels = spark.createDataFrame([(i, "en" if i < 100 else "de") for i, _ in rows], "doc_id long, label string")
+    names, vectors = language_id.learn(docs(rows), labels, 1000)
+    want = language_id.prototypes([t for _, t in rows], ["en"] * 60 + ["de"] * 2)
+    assert names == want[0] == ["de", "en"] and np.allclose(vectors, want[1], atol=1e-5)
+    assert language_id.learn(docs(rows), labels, 8)[0] == ["de", "en"]
+    assert language_id.learn(docs(rows), labels.limit(0), 8)[0] == []
+
+
+def test_labelled_rows_are_bounded_and_of_every_label(spark, docs):
+    from loomwright.llm.common import labelled
+
+    rows = [(i, f"t{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1 if i < 6 else 0) for i, _ in rows] + [(7, None), (None, 1)], "doc_id long, label int")
+    found = [r.label for r in labelled(docs(rows), labels, 40, every_label=True).collect()]
+    assert found.count(1) >= 6 and 40 <= len(found) <= 60
+    assert len(labelled(docs(rows), labels, 40).collect()) == 40
+
+
 def test_binding_is_order_dependent_and_long_texts_match():
     (v, n) = language_id.bundles(["abc", "cba", "abc abc", "", "x" * 100_000])
     unit = v[:3] / np.linalg.norm(v[:3], axis=1, keepdims=True)
@@ -96,7 +116,7 @@ def test_forward_backward_is_brute_force():
 
     from loomwright.llm.arrays import Words, as_bytes
 
-    field = toxicity.Field(np.array([1], np.uint64), np.zeros(1), -1.0, np.array([[0.0, -1.5], [-0.3, 0.8]]), np.zeros(3))
+    field = toxicity.Field(np.array([1], np.uint64), np.zeros(3), -1.0, np.array([[0.0, -1.5], [-0.3, 0.8]]), np.zeros(3))
     words = Words(*as_bytes(pa.array(["a b c d e", "x", "p q r"])))
     at, score = np.array([1, 4, 7, 8]), np.array([2.0, -0.5, 1.0, 0.3])
     got = field.marginals(words, at, score)
@@ -116,6 +136,43 @@ def test_forward_backward_is_brute_force():
                 assert got[k] == pytest.approx(inside[w] / total)
 
 
+def test_gradient_is_that_of_the_likelihood_and_both_are_brute_force():
+    import itertools
+
+    random = np.random.default_rng(1)
+    chains = [([[0], [], [1, 2], [2]], [1, 0, 0, 1], 3), ([[], [1]], [0, 1], 1), ([[0, 1, 2]], [0], 2)]
+    g, theta = toxicity.gold(chains, 3), random.normal(size=7)
+    value, slope = toxicity.likelihood(theta, g)
+    move, want = np.append(0.0, theta[4:]).reshape(2, 2), 0.0
+    for chain, states, times in chains:
+        score = lambda y, chain=chain: sum(move[a, b] + b * (theta[3] + sum(theta[f] for f in found)) for a, b, found in zip((0, *y), y, chain))  # noqa: E731, B905
+        want += times * (score(states) - math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=len(chain)))))
+    assert value == pytest.approx(want)
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-5
+        assert slope[k] == pytest.approx((toxicity.likelihood(theta + step, g)[0] - toxicity.likelihood(theta - step, g)[0]) / 2e-5, abs=1e-5)
+
+
+def test_powers_of_the_matrix_of_unknown_words():
+    field = toxicity.Field(np.array([1], np.uint64), np.zeros(3), -2.0, np.array([[0.0, -4.0], [-3.0, 1.5]]), np.zeros(3))
+    step = field.move * np.array([1.0, np.exp(field.bias)])
+    for n in (0, 1, 5, 96, 400):
+        want, got = np.linalg.matrix_power(step, n), field.gaps(np.array([n]))[0]
+        assert got / got.sum() == pytest.approx(want / want.sum())
+
+
+def test_the_word_beside_a_known_one_counts():
+    from loomwright.llm.arrays import Words, as_bytes
+
+    data, at = as_bytes(pa.array(["bad bad x bad", "bad"]))
+    words = Words(data, at)
+    field = toxicity.Field(words.hashes()[:1], np.array([1.0, 0.25, 0.5]), -1.0, np.zeros((2, 2)), np.zeros(3))
+    known, score = field.known(words, data)
+    assert known.tolist() == [0, 1, 3, 4] and score.tolist() == [0.5, 0.25, 0.0, 0.0]
+    found = toxicity.chains(words.hashes()[:1], pa.array(["bad bad x bad"]), np.array([True]))
+    assert found == [([[], [], [], [0, 2], [0, 1], [], [0]], [0, 0, 0, 1, 1, 0, 1])]
+
+
 def test_toxicity_without_labels(spark, docs):
     field = toxicity.learn(docs([(1, "a")]), spark.createDataFrame([], "doc_id long, label int"))
     assert {r.predicted for r in toxicity.score_toxicity(docs(list(enumerate(ODD))), field).collect()} <= {0, 1}
@@ -279,11 +336,38 @@ def test_ngram_join_is_brute_force(docs, monkeypatch, broadcast_rows):
     assert [found[i].n_links for i in range(len(texts))] == list(degree)
 
 
+def family(m, seed=5):
+    """Texts whose similarity with one another is below the threshold, but for those changed at places near each other."""
+    base, random, out = [f"w{i}" for i in range(80)], np.random.default_rng(seed), []
+    for k in range(m):
+        w = list(base)
+        w[int(random.integers(5, 75))] = f"x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_a_family_below_the_threshold_is_compared_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    seen, plain = [], ngram_join._compared
+    monkeypatch.setattr(ngram_join, "_compared", lambda pairs, grams: seen.append(pairs.count()) or plain(pairs, grams))
+    made = []
+    for m in (60, 120):
+        seen.clear()
+        texts = family(m)
+        found = {r.doc_id: r for r in ngram_join.near_duplicates(docs(list(enumerate(texts)))).collect()}
+        label, degree = links_by_hand(texts)
+        assert 0 < sum(degree) < m * m / 4
+        assert [(found[i].class_id, found[i].n_links) for i in range(m)] == list(zip(label, degree, strict=True))
+        made.append(sum(seen))
+    assert made[1] < 3 * made[0] < 3 * 60 * 16, made  # far fewer than the pairs: 1,770 and 7,140
+
+
 def test_one_of_each_class_stays(docs):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (3, text + " tail"), (3, text + " tail"), (9, "alone here"), (None, "alone too"), (None, text), (7, None), (8, "")]
+    rows += [(-1, "a text of seven words in all"), (-1, "a text of seven words in all"), (None, "a text of seven words in all")]
     kept = ngram_join.one_of_each(docs(rows, ["_text", "_id", "class_id"])).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["3", "7", "8", "9", "None"]
+    assert sorted(str(r.doc_id) for r in kept) == ["-1", "3", "7", "8", "9", "None"]
     assert ngram_join.one_of_each(docs([])).count() == 0
 
 
