@@ -6,8 +6,8 @@ distance is a metric, so if one of two linked members is linked to the centre, t
 twice the limit of it. Such members of a centre are its canopy, and links inside a canopy are counted
 block against block: no row stands for a pair, and blocks of members whose distances from the centre
 add up to no more than the limit are linked throughout and not compared at all. Members that are linked
-to no such centre, but within three times the limit of one that many are near, are compared in blocks
-with all that they share a bucket with. What is left is banded again, with longer bands that only
+to no such centre, but within twice the limit of one that many are near, are compared in blocks with all
+that they share a bucket with. What is left is banded again, with longer bands that only
 similar sets have in common, and those few pairs are enumerated and compared.
 """
 
@@ -29,6 +29,8 @@ WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
 #: Hashes in a band of the second banding; sets that a centre must be home to, for a canopy, unless it
 #: meets few: so many in all its buckets together.
 LONG_ROWS, HOST, FEW = 12, 16, 200
+#: Sets without a home that must be near one centre, to be compared in blocks and not pair by pair.
+CROWD = 1_000
 #: Steps in which distances are rounded up; sets and n-grams of a block, about; columns compared at once.
 STEPS, BLOCK_SETS, BLOCK_GRAMS, WIDE = 1_000, 200, 60_000, 8_192
 
@@ -206,11 +208,12 @@ def _counted(rows: DataFrame, threshold: float) -> DataFrame:
                 break
             label = low
         apart = [(names[i], names[k]) for i, k in enumerate(label.tolist()) if node[i] != node[k]]
+        some = np.flatnonzero(w)
         return pa.table(
             {
-                "_set": pa.array([*names, *[p for p, _ in apart]], pa.binary()),
-                "other": pa.array([*[None] * n, *[q for _, q in apart]], pa.binary()),
-                "w": pa.array([*w.tolist(), *[None] * len(apart)], pa.int64()),
+                "_set": pa.array([*[names[i] for i in some], *[p for p, _ in apart]], pa.binary()),
+                "other": pa.array([*[None] * len(some), *[q for _, q in apart]], pa.binary()),
+                "w": pa.array([*w[some].tolist(), *[None] * len(apart)], pa.int64()),
             }
         )
 
@@ -286,7 +289,7 @@ def near_duplicates(
         """What the sizes allow for a similarity of `least`."""
         return F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
 
-    near, wide, far = 1 - threshold, 1 - 2 * (1 - threshold), 1 - 3 * (1 - threshold)
+    near, wide = 1 - threshold, 1 - 2 * (1 - threshold)
     limit = int(round(near * STEPS))
     bin = F.ceil((F.col("either") - F.col("both")) * STEPS / F.col("either") - F.lit(1e-9)).cast("int")
     is_link = F.col("both") >= F.col("either") * (threshold - 1e-9)
@@ -294,15 +297,15 @@ def near_duplicates(
     texts = only(source.select("_text", "text"), wanted, "_text", wanted.count(), broadcast_rows).dropDuplicates(["_text"])
     grams = cut(_grams_of(texts.select("text"), width))
 
-    def compared(pairs: DataFrame, reach: int) -> DataFrame:
-        """pairs (a, b) with the rounded distance and whether they are linked, as far as `reach` times the limit."""
-        found = _compared(pairs, grams).select("a", "b", F.least(bin, F.lit(reach * limit + 1)).alias("bin"), is_link.alias("link"))
-        return cut(found.filter(F.col("link") | (F.col("bin") <= reach * limit)))
+    def compared(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with the rounded distance and whether they are linked, as far as the canopy goes."""
+        found = _compared(pairs, grams).select("a", "b", F.least(bin, F.lit(2 * limit + 1)).alias("bin"), is_link.alias("link"))
+        return cut(found.filter(F.col("link") | (F.col("bin") <= 2 * limit)))
 
     stars = cut(
-        placed.filter("_set <> centre").filter(fits("_size", "centre_size", far)).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct()
+        placed.filter("_set <> centre").filter(fits("_size", "centre_size", wide)).select(F.col("centre").alias("a"), F.col("_set").alias("b")).distinct()
     )
-    starred = compared(stars, 3)
+    starred = compared(stars)
     # each set's home is the centre with most links that it is linked to, or itself; small ones don't count
     degree = cut(starred.filter("link").groupBy("a").agg(F.count(F.lit(1)).alias("_links")))
     choice = starred.filter("link").join(degree, "a").select(F.col("b").alias("_set"), F.struct("_links", F.col("a").alias("home")).alias("_c"))
@@ -325,7 +328,7 @@ def near_duplicates(
     others = others.join(sets.select(F.col("_set").alias("a"), F.col("_size").alias("a_size")), "a")
     guests = others.hint("shuffle_merge").join(lodged.select("_key", "_set", "_size"), "_key").filter((F.col("a") != F.col("_set")) & fits("_size", "a_size", wide))
     guests = guests.select("a", F.col("_set").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    visited = starred.filter(F.col("link") | (F.col("bin") <= 2 * limit)).union(compared(guests, 2))
+    visited = starred.union(compared(guests))
 
     def in_blocks(canopy: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """canopy (host, _set, _size, _copies, home, node, tight, _ring) of at least so many sets: their blocks, links, sizes."""
@@ -351,26 +354,28 @@ def near_duplicates(
     # sets without a home: those near a centre that many such are near go to its canopy, with all they share a bucket with
     loose = cut(lodged.filter("not tight").select("_set", "_size").distinct())
     around = starred.select("a", F.col("b").alias("_set")).join(loose.select("_set").hint("shuffle_merge"), "_set", "left_semi")
-    company = cut(around.groupBy("a").agg(F.count(F.lit(1)).alias("_near")).filter(F.col("_near") >= HOST))
-    lodging = around.join(company, "a").select("_set", F.struct("_near", F.col("a").alias("home")).alias("_c"))
-    landlord = company.join(loose, company["a"] == loose["_set"]).select("_set", F.struct("_near", F.col("a").alias("home")).alias("_c"))
-    lodging = cut(lodging.union(landlord).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", F.col("_c.home").alias("_lodging")))
-    seated = cut(lodged.filter("not tight").select("_key", "_set").join(lodging, "_set", "left"))
-    tables = seated.filter("_lodging is not null").select("_key", F.col("_lodging").alias("host")).distinct()
-    outer = tables.hint("shuffle_merge").join(seated, "_key").select("host", "_set", "_lodging").distinct().join(copies, "_set")
-    outer = cut(
-        outer.select("host", "_set", "_size", "_copies", F.coalesce("_lodging", "_set").alias("home"), F.col("_set").alias("node"), F.col("_lodging").isNotNull().alias("tight"), F.lit(1).alias("_ring"))
-    )
-    _, told_outer, _ = in_blocks(outer, 2)
+    company = cut(around.groupBy("a").agg(F.count(F.lit(1)).alias("_near")).filter(F.col("_near") >= CROWD))
+    crowds = []
+    if company.count():
+        lodging = around.join(company, "a").select("_set", F.struct("_near", F.col("a").alias("home")).alias("_c"))
+        landlord = company.join(loose, company["a"] == loose["_set"]).select("_set", F.struct("_near", F.col("a").alias("home")).alias("_c"))
+        lodging = cut(lodging.union(landlord).groupBy("_set").agg(F.max("_c").alias("_c")).select("_set", F.col("_c.home").alias("_lodging")))
+        seated = cut(lodged.filter("not tight").select("_key", "_set").join(lodging, "_set", "left"))
+        tables = seated.filter("_lodging is not null").select("_key", F.col("_lodging").alias("host")).distinct()
+        outer = tables.hint("shuffle_merge").join(seated, "_key").select("host", "_set", "_lodging").distinct().join(copies, "_set")
+        outer = cut(
+            outer.select("host", "_set", "_size", "_copies", F.coalesce("_lodging", "_set").alias("home"), F.col("_set").alias("node"), F.col("_lodging").isNotNull().alias("tight"), F.lit(1).alias("_ring"))
+        )
+        crowds.append(in_blocks(outer, 2)[1])
+        loose = cut(loose.join(lodging.hint("shuffle_merge"), "_set", "left_anti"))
     # pairs of which neither has either
-    loose = cut(loose.join(lodging.hint("shuffle_merge"), "_set", "left_anti"))
     keyed = _banded(grams.join(loose.select("_set").hint("shuffle_merge"), "_set", "left_semi"), band_count(threshold, LONG_ROWS, recall), LONG_ROWS)
     keyed = cut(keyed.select("_set", F.explode("_bands").alias("_key")))
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1").select("_key")
     keyed = cut(keyed.join(shared.hint("shuffle_merge"), "_key").join(loose, "_set"))
     left, right = keyed.select("_key", F.col("_set").alias("a"), F.col("_size").alias("a_size")), keyed.withColumnRenamed("_set", "b")
     strays = left.hint("shuffle_merge").join(right, "_key").filter((F.col("a") < F.col("b")) & fits("_size", "a_size", threshold))
-    strays = cut(compared(strays.select("a", "b").distinct(), 1).filter("link").select("a", "b"))
+    strays = cut(compared(strays.select("a", "b").distinct()).filter("link").select("a", "b"))
 
     # canopies: all sets within twice the limit of a host
     canopy = visited.join(hosts.select(F.col("host").alias("a")), "a").select(F.col("a").alias("host"), F.col("b").alias("_set"), "bin")
@@ -379,7 +384,8 @@ def near_duplicates(
     canopy = cut(canopy.join(settled, "_set").join(copies, "_set").withColumn("node", F.col("home")).withColumn("_ring", ring))
     n_canopy = canopy.count()
     dealt, told, sizes = in_blocks(canopy, 3)
-    told = told.union(told_outer)
+    for crowd in crowds:
+        told = told.union(crowd)
     # near members of a canopy in blocks are all linked
     rings = dealt.filter("_parts > 1 and _ring = 0").groupBy("host").agg(F.sum("_copies").alias("_all"), F.count(F.lit(1)).alias("_in"))
     near_ones = dealt.filter("_parts > 1 and _ring = 0")

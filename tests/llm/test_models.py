@@ -348,6 +348,7 @@ def family(m, seed=5):
 
 def test_a_family_below_the_threshold_is_compared_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "CROWD", 16)
     seen, plain = [], ngram_join._compared
     monkeypatch.setattr(ngram_join, "_compared", lambda pairs, grams: seen.append(pairs.count()) or plain(pairs, grams))
     made = []
