@@ -70,6 +70,12 @@ def f6_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1")
+def f6_day_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @query("SELECT event_id, CAST(dayofweek(ts) + 1 AS INTEGER) AS d FROM events")
 def f7_day_of_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sunday is 1."""
@@ -115,9 +121,9 @@ def f10_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(0, 4)) AS i)")
+@query("SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)")
 def f10_explode_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), (F.size("embedding") - 1).cast("long"))).alias("i"))
     return v.select("vec_id", "i", F.get("embedding", F.col("i").cast("int")).cast("double").alias("x"))
 
 
@@ -144,6 +150,20 @@ def f13_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT c_custkey, CAST((c_custkey > 20)::INTEGER + (c_nationkey > 20)::INTEGER AS INTEGER) AS left_, c_custkey * 2 AS doubled, c_custkey AS renamed, c_custkey + c_nationkey AS both_
+FROM customer
+""")
+def f14_map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """map_filter, transform_values, transform_keys and map_zip_with."""
+    m = F.create_map(F.lit("x"), F.col("c_custkey"), F.lit("y"), F.col("c_nationkey").cast("long"))
+    crossed = F.create_map(F.lit("x"), F.col("c_nationkey").cast("long"), F.lit("z"), F.lit(1).cast("long"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.size(F.map_filter(m, lambda k, v: v > 20)).alias("left_"), F.transform_values(m, lambda k, v: v * 2)["x"].alias("doubled"),
+        F.transform_keys(m, lambda k, v: F.upper(k))["X"].alias("renamed"), F.map_zip_with(m, crossed, lambda k, a, b: a + b)["x"].alias("both_"),
+    )
+
+
 @query("""
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS variant_k, CAST(len(regexp_extract_all(props, '[0-9]')) AS INTEGER) AS digits,
        array_to_string(regexp_extract_all(props, '[0-9]'), '') AS all_digits, 'shop.example' AS host, 'a b' AS decoded, event_type AS csv_second, CAST(event_id AS VARCHAR) AS xml_id,

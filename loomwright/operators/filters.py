@@ -34,10 +34,10 @@ def p2_case_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE 'P_OMO'")
+@query("SELECT p_partkey, p_name FROM part WHERE (p_brand LIKE 'Brand#%1%' OR p_type LIKE 'E%_Y') AND p_type NOT LIKE 'P_OMO'")
 def p3_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.filter(F.col("p_name").like("%1%") & ~F.col("p_type").like("P_OMO")).select("p_partkey", "p_name")
+    return part.filter((F.col("p_brand").like("Brand#%1%") | F.col("p_type").like("E%_Y")) & ~F.col("p_type").like("P_OMO")).select("p_partkey", "p_name")
 
 
 @query("""

@@ -26,13 +26,13 @@ def j1_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0)
-FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey
+SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20
 """)
 def j1_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey")
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey")
-    return c.join(s, c.c_custkey == s.s_suppkey, "full")
+    """Whole tables, on keys that leave rows of both sides without a match."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return c.join(s, c.c_custkey == s.s_suppkey * 20, "full")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -56,6 +56,13 @@ def j3_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, on).select(F.col("a.n_name").alias("low"), F.col("b.n_name").alias("high"))
 
 
+@query("SELECT r_name, n_name FROM region JOIN nation ON n_nationkey < r_regionkey * 5")
+def j3_less_than_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No equal key: a nested loop, over two tables of a fixed size."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    return n.join(F.broadcast(r), n.n_nationkey < r.r_regionkey * 5).select("r_name", "n_name")
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def j4_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed pair of tiny dimension tables."""
@@ -84,8 +91,20 @@ def j6_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(J6)
 
 
+J6_NULL = """
+SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT nullif(c_custkey, 1) FROM customer WHERE c_acctbal > 0 OR c_custkey = 1)
+"""
+
+
+@query(J6_NULL)
+def j6_not_in_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a null in the list no row passes."""
+    views(spark, sf_dir, "customer", "orders")
+    return spark.sql(J6_NULL)
+
+
 J7 = """
-SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(l_extendedprice / l_quantity) FROM lineitem WHERE l_partkey = p_partkey)
+SELECT p_partkey FROM part WHERE p_size > (SELECT avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)
 """
 
 

@@ -19,9 +19,11 @@ EXTERNAL = {"avro": "spark-avro", "delta": "delta-spark", "kafka": "spark-sql-ka
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; a local one only where no shared one is set."""
+    """A new folder that all executors see; a local one only where the executors are this process."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="loomwright-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base}/files-{uuid.uuid4().hex}"

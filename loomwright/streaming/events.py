@@ -119,10 +119,39 @@ def t7_stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(joined.select("click_id", "purchase_id"), "append")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("""
+SELECT event_id AS click_id FROM events a WHERE event_type = 'click' AND EXISTS (
+  SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR)
+""")
+def t7_stream_stream_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = stream(spark, sf_dir).filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("a"), F.col("ts").alias("clicked"))
+    bought = stream(spark, sf_dir).filter("event_type = 'purchase'").select(F.col("user_id").alias("b"), F.col("ts").alias("bought"))
+    on = F.expr("a = b and bought >= clicked and bought <= clicked + interval 1 hour")
+    joined = clicks.withWatermark("clicked", "10 minutes").join(bought.withWatermark("bought", "10 minutes"), on, "left_semi")
+    return finished(joined.select("click_id"), "append")
+
+
+@query("""
+SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1
+UNION ALL SELECT date_trunc('day', max(ts) + INTERVAL 10 DAY), 1 FROM events
+""")
 def t8_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a day's grace nothing of the table is late, and windows of the last day stay open."""
-    found = stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"))
+    """Four files, a batch each: the table, a row ten days on, one from the first day, and one twenty days on.
+
+    The third comes behind the watermark and is dropped; the last only moves the watermark on.
+    """
+    path = shared_folder(spark)
+    times = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    ends = times.agg(F.min("ts").alias("first_"), F.max("ts").alias("last_"))
+    for part in (
+        times,
+        ends.select((F.col("last_") + F.expr("interval 10 days")).alias("ts")),
+        ends.select(F.col("first_").alias("ts")),
+        ends.select((F.col("last_") + F.expr("interval 20 days")).alias("ts")),
+    ):
+        part.coalesce(1).write.mode("append").parquet(path)
+    rows = spark.readStream.schema(times.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = rows.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"))
     return finished(found.select(F.col("window.start").alias("start"), "n"), "append").select(*ntz("start"), "n")
 
 
