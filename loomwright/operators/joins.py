@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.registry import query
@@ -125,22 +125,51 @@ def j8_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
         LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+def free(prefix: str, *frames: DataFrame) -> str:
+    """A column name that no frame has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while prefix in taken:
+        prefix += "_"
+    return prefix
+
+
+def bucket_of(frame: DataFrame, time: str, seconds: int) -> Column:
+    """The number of the bucket of so many seconds that a time is in; never less for a later time.
+
+    A time without a zone is read off its fields, as in the session's zone its order may differ.
+    """
+    t = F.col(time)
+    if frame.schema[time].dataType.typeName() == "timestamp_ntz":
+        since = F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60 + F.second(t)
+    else:
+        since = F.unix_seconds(t.cast("timestamp"))
+    return F.floor(since / seconds)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], seconds: int = 86_400) -> DataFrame:
     """left with, of each of `values`, what right last had for the key at or before the row's time.
 
-    Both sides go through one window, so the work grows with the rows and not with the earlier rows
-    of each. Of equal times in right the greatest values count; rows of left without an earlier one
-    get nulls, as do those with a null key.
+    Both sides go through one window for each key and bucket of so many seconds, and what a bucket
+    begins with comes from a second window over one row a bucket. So the work grows with the rows and
+    not with the earlier rows of each, and the history of one key is dealt over tasks. Of equal times in
+    right the greatest values count; rows of left without an earlier one get nulls, as do those with
+    a null key or time. Rows of right with a null key or time are nothing's earlier row.
     """
-    rows = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_at"))
+    side, at, bucket, last, first = (free(f"_{n}", left, right) for n in ("side", "at", "bucket", "last", "first"))
+    right = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    rows = left.select("*", F.lit(1).alias(side), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias(at))
     found = right.select(
         *[F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns],
-        F.lit(0).alias("_side"), F.struct(*values).alias("_at"),
+        F.lit(0).alias(side), F.struct(*values).alias(at),
     )
-    before = Window.partitionBy(key).orderBy(F.col(time), F.col("_side"), F.col("_at")).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("_at", ignorenulls=True).over(before)
-    out = rows.unionByName(found).withColumn("_last", last).filter("_side = 1")
-    return out.select(*left.columns, *[F.when(F.col(key).isNotNull(), F.col(f"_last.{v}")).alias(v) for v in values])
+    every = rows.unionByName(found).withColumn(bucket, bucket_of(left, time, seconds))
+    ends = every.groupBy(key, bucket).agg(F.max(F.when(F.col(side) == 0, F.struct(time, at))).alias(last))
+    earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select(key, bucket, F.last(last, ignorenulls=True).over(earlier)[at].alias(first))
+    inside = Window.partitionBy(key, bucket).orderBy(F.col(time), F.col(side), F.col(at)).rowsBetween(Window.unboundedPreceding, 0)
+    out = every.withColumn(last, F.last(at, ignorenulls=True).over(inside)).filter(F.col(side) == 1).join(begins, [key, bucket], "left")
+    best = F.coalesce(last, first)
+    return out.select(*left.columns, *[best[v].alias(v) for v in values])
 
 
 @query("""
@@ -158,14 +187,16 @@ def j9_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def within(left: DataFrame, right: DataFrame, key: str, time: str, other: str, seconds: int) -> DataFrame:
     """Pairs of the same key with left[time] <= right[other] <= left[time] + seconds.
 
+    Both times are of one type.
+
     Times are cut into buckets as long as the interval, and a row of left meets two of them, so the
     join is by equal keys and buckets, not a nested loop.
     """
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
-    a = left.withColumn("_bucket", F.explode(F.array(bucket(time), bucket(time) + 1)))
-    b = right.withColumn("_bucket", bucket(other))
+    bucket = free("_bucket", left, right)
+    a = left.withColumn(bucket, bucket_of(left, time, seconds)).withColumn(bucket, F.explode(F.array(bucket, F.col(bucket) + 1)))
+    b = right.withColumn(bucket, bucket_of(right, other, seconds))
     span = F.expr(f"interval {seconds} seconds")
-    return a.join(b, [key, "_bucket"]).filter((F.col(other) >= F.col(time)) & (F.col(other) <= F.col(time) + span)).drop("_bucket")
+    return a.join(b, [key, bucket]).filter((F.col(other) >= F.col(time)) & (F.col(other) <= F.col(time) + span)).drop(bucket)
 
 
 @query("""

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwright.registry import query
@@ -131,6 +132,31 @@ def t7_stream_stream_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(joined.select("click_id"), "append")
 
 
+@query("""
+SELECT a.event_id AS click_id, b.event_id AS purchase_id
+FROM (SELECT * FROM events WHERE event_type = 'click') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b
+ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR
+""")
+def t7_stream_stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files, a batch each: the table, then a click and a purchase twenty days on by users that don't exist.
+
+    A click without a purchase comes out when the watermark has passed its hour, so the second file lets
+    out all clicks of the table; its own stays in the state.
+    """
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    later = rows.agg((F.max("ts") + F.expr("interval 20 days")).alias("ts"))
+    ends = later.select(F.explode(F.expr("array(struct(-1L AS user_id, 'click' AS event_type), struct(-2L AS user_id, 'purchase' AS event_type))")).alias("e"), "ts")
+    for part in (rows, ends.select(F.lit(None).cast("long").alias("event_id"), "e.*", "ts")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    clicks = events.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("a"), F.col("ts").alias("clicked"))
+    bought = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("b"), F.col("ts").alias("bought"))
+    on = F.expr("a = b and bought >= clicked and bought <= clicked + interval 1 hour")
+    joined = clicks.withWatermark("clicked", "10 minutes").join(bought.withWatermark("bought", "10 minutes"), on, "left_outer")
+    return finished(joined.select("click_id", "purchase_id"), "append")
+
+
 @query("""
 SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1
 UNION ALL SELECT date_trunc('day', max(ts) + INTERVAL 10 DAY), 1 FROM events
@@ -173,3 +199,44 @@ def t9_arbitrary_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     seen = finished(found, "update")
     return seen.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("s")).select("user_id", "s.n", "s.total")
+
+
+class Totals(StatefulProcessor):
+    """Events of a user so far, and how many batches they came in."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, total double, batches long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        n, total, batches = self.seen.get() if self.seen.exists() else (0, 0.0, 0)
+        for frame in rows:
+            n, total = n + len(frame), total + float(frame["value"].sum())
+        self.seen.update((n, total, batches + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 4)], "batches": [batches + 1]})
+
+    def close(self) -> None:
+        pass
+
+
+@query("""
+WITH e AS (SELECT user_id, value, event_id < (SELECT quantile_disc(event_id, 0.5) FROM events) AS early FROM events)
+SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT early) AS batches FROM e GROUP BY user_id
+""")
+def t9_transform_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each user, after two batches: the events before the median one, and the rest."""
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    middle = F.broadcast(rows.agg(F.expr("percentile_disc(0.5) within group (order by event_id)").cast("long").alias("middle")))
+    marked = rows.crossJoin(middle).withColumn("early", F.col("event_id") < F.col("middle"))  # one row
+    for part in (marked.filter("early"), marked.filter("not early")):
+        part.select("user_id", "value").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("user_id long, value double").option("maxFilesPerTrigger", 1).parquet(path)
+    found = events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, total double, batches long", "update", "none")
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)  # the only store that this operator takes
+    try:
+        seen = finished(found, "update")
+    finally:
+        spark.conf.set(name, before)
+    return seen.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "batches"), "n").alias("s")).select("user_id", "s.*")

@@ -28,6 +28,35 @@ def test_as_of_is_the_last_earlier_row(spark, left, right):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_as_of_crosses_buckets_and_own_names_stay(spark):
+    rows = frame(spark, [(1, 3000, 1), (1, 5, 2), (2, 3000, 3)], ("k", "t", "_side"))
+    right = frame(spark, [(1, 2, 7), (1, 9000, 8), (None, 1, 9)], ("k", "t", "_bucket"))
+    got = as_of(rows, right, "k", "t", ["_bucket"], seconds=600).collect()
+    assert sorted((r["_side"], r["_bucket"]) for r in got if r["_bucket"] is not None) == [(1, 7), (2, 7)] and len(got) == 3
+
+
+def test_times_without_a_zone_keep_their_order(spark):
+    """02:30 doesn't exist that day in New York, where it would be read as later than 03:10."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        early, late = dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 10, 3, 10)
+        kind = "k int, t timestamp_ntz, x int"
+        rows, right = spark.createDataFrame([(1, late, 1)], kind), spark.createDataFrame([(1, early, 5)], kind.replace("x", "v"))
+        assert as_of(rows, right, "k", "t", ["v"], seconds=600).select("v").collect() == [(5,)]
+        later = spark.createDataFrame([(1, late, 6)], kind.replace("t ", "u ").replace("x", "y"))
+        first = spark.createDataFrame([(1, early, 5)], kind)
+        assert within(first, later, "k", "t", "u", 2400).select("x", "y").collect() == [(5, 6)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_as_of_nulls_in_time_and_values(spark):
+    rows = spark.createDataFrame([(1, None, 1), (1, T0, 2)], "k int, t timestamp_ntz, id int")
+    right = spark.createDataFrame([(1, None, 5), (1, T0, None)], "k int, t timestamp_ntz, v int")
+    assert sorted((r["id"], r["v"]) for r in as_of(rows, right, "k", "t", ["v"]).collect()) == [(1, None), (2, None)]
+
+
 @SLOW
 @given(ROWS, ROWS)
 def test_within_is_the_theta_join(spark, left, right):
