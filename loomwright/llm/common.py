@@ -167,24 +167,27 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id",
     With every_label, a label that would get less has all its rows or an equal part of half the bound,
     so the rows are at most one and a half times the bound, and no label is missed where there are many.
     """
-    one = labels.filter(F.col(id).isNotNull() & F.col("label").isNotNull()).groupBy(id).agg(F.max("label").alias("label"))
+    one = cut(labels.filter(F.col(id).isNotNull() & F.col("label").isNotNull()).groupBy(id).agg(F.max("label").alias("label")))
     order = [F.xxhash64(F.col(id)), F.col(id)]
+    counts = one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(bound).collect()
+    size, total = {r["label"]: r["n"] for r in counts}, sum(r["n"] for r in counts) or 1
+
+    def below(n: int, of: int) -> float:
+        """A bound on the hash that the first n of so many rows, and about as many more, are below."""
+        return float(2**64 * min(1.0, (2 * n + 100) / of) - 2**63)
+
+    # rows below such a bound only, so that what one task sorts doesn't grow with the input
+    scarce, part = [], bound // (2 * max(len(counts), 1))
     if every_label:
-        one = cut(one)
-        counts = one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(bound).collect()
-        total, part = sum(r["n"] for r in counts) or 1, bound // (2 * max(len(counts), 1))
-        scarce = [r["label"] for r in counts if bound * r["n"] // total < min(r["n"], part)]
-        if scarce:
-            own = one.filter(F.col("label").isin(scarce))
-            # by a part of the hashes first, so that the window sorts a bounded number of rows
-            size = {r["label"]: r["n"] for r in counts}
-            limit = F.create_map(*[F.lit(x) for k in scarce for x in (k, min(1.0, 2 * part / size[k] + 1e-3))])
-            near = F.pmod(F.xxhash64(F.lit(2), F.col(id)), F.lit(1 << 30)) / (1 << 30) <= limit[F.col("label")]
-            rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-            own = own.filter(near).withColumn("_rank", rank).filter(F.col("_rank") <= part).drop("_rank")
-            rest = one.filter(~F.col("label").isin(scarce)).orderBy(*order).limit(bound)
-            return docs.join(F.broadcast(cut(own.unionByName(rest))), id).dropDuplicates([id])
-    chosen = one.orderBy(*order).limit(bound)
+        scarce = [k for k, n in size.items() if bound * n // total < min(n, part)]
+    most = one.filter(~F.col("label").isin(scarce)) if scarce else one
+    left = total - sum(size[k] for k in scarce)
+    chosen = most.filter(order[0] <= below(bound, max(left, 1))).orderBy(*order).limit(bound)
+    if scarce:
+        limit = F.create_map(*[F.lit(x) for k in scarce for x in (k, below(part, size[k]))])
+        rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+        own = one.filter(F.col("label").isin(scarce)).filter(order[0] <= limit[F.col("label")])
+        chosen = cut(own.withColumn("_rank", rank).filter(F.col("_rank") <= part).drop("_rank").unionByName(chosen))
     return docs.join(F.broadcast(chosen), id).dropDuplicates([id])
 
 
