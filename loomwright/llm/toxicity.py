@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.arrays import BYTE_CODES, LOWER, Table, Words, as_bytes, mixed, pieces, powers, sums
-from loomwright.llm.common import in_fold, labelled, read, shielded
+from loomwright.llm.common import cut, in_fold, labelled, read, shielded
 
 #: Labelled documents to learn from, and half as many more of a rare label; different chains of words of them, at most.
 SAMPLE, CHAINS = 20_000, 1 << 16
@@ -296,7 +296,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
     texts and hardly in clean ones marks its word. Without labels of both kinds the field knows no
     trait, and the score is the share of toxic labels.
     """
-    sample = labelled(docs, labels, bound, every_label=True)
+    sample = cut(labelled(docs, labels, bound, every_label=True))  # read four times; the whole texts are scanned once
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_clean, n_toxic = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
     rate = F.col("toxic") / n_toxic
