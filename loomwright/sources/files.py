@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/files-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as it is now, written to the shared folder and read again: it stays the same however often it is used."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_external(spark: SparkSession, kind: str, **options: str) -> DataFrame:
     """Read avro, delta, kafka, iceberg or jdbc where its module is installed; else say what is missing."""
     try:
