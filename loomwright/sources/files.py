@@ -15,7 +15,7 @@ from loomwright.registry import query
 from loomwright.session import table
 
 #: Formats that need a module or a driver which Spark doesn't bring along.
-EXTERNAL = {"avro": "spark-avro", "delta": "delta-spark", "kafka": "spark-sql-kafka-0-10", "iceberg": "iceberg-spark-runtime", "jdbc": "a JDBC driver"}
+EXTERNAL = {"avro": "spark-avro", "delta": "delta-spark", "kafka": "spark-sql-kafka-0-10", "iceberg": "iceberg-spark-runtime", "jdbc": "the database's JDBC driver"}
 
 
 def shared_folder(spark: SparkSession) -> str:
