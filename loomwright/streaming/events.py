@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwright.registry import query
@@ -23,9 +27,16 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(df: DataFrame, mode: str) -> DataFrame:
-    """What the stream has written when all input has been read. The sink is a table in the shared folder."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+def finished(
+    df: DataFrame, mode: str, steps: list[Callable[[], None]] | None = None, told: Callable[[StreamingQuery], None] | None = None, one_batch: bool = False
+) -> DataFrame:
+    """What the stream has written when all input has been read. The sink is a table in the shared folder.
+
+    With steps the stream runs once after each, from its checkpoint, so what a step adds to the input
+    is one batch. `told` sees the query after each run. With one_batch a run is one batch: state that is
+    kept for some time asks for another batch again and again, so such a stream has no end by itself.
+    """
+    spark, path, checkpoint = df.sparkSession, shared_folder(df.sparkSession), shared_folder(df.sparkSession)
     none = spark.createDataFrame([], df.schema)
 
     def replace(batch: DataFrame, _: int) -> None:  # each batch is the whole result
@@ -36,27 +47,63 @@ def finished(df: DataFrame, mode: str) -> DataFrame:
 
     if mode == "complete":
         replace(none, 0)
-        writer = df.writeStream.outputMode("complete").foreachBatch(replace)
     else:
         append(none, -1)
-        writer = df.writeStream.outputMode(mode).foreachBatch(append)
-    running = writer.option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start()
-    running.awaitTermination()
+    for step in steps or [lambda: None]:
+        step()
+        writer = df.writeStream.outputMode(mode).foreachBatch(replace if mode == "complete" else append)
+        running = writer.option("checkpointLocation", checkpoint).trigger(**({"once": True} if one_batch else {"availableNow": True})).start()
+        running.awaitTermination()
+        if told is not None:
+            told(running)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def staged(parts: list[DataFrame]) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A file stream and the steps that add each part to its folder, written by as many tasks as the part has."""
+    spark, path = parts[0].sparkSession, shared_folder(parts[0].sparkSession)
+    spark.createDataFrame([], parts[0].schema).write.parquet(path)
+    steps = [lambda part=part: part.write.mode("append").parquet(path) for part in parts]
+    return spark.readStream.schema(parts[0].schema).parquet(path), steps
+
+
 def ntz(*names: str):
     return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_ FROM events GROUP BY event_type")
 def s6_file_stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory sink is the driver's memory, so it gets a row for each type of event."""
     name = f"loomwright_{uuid.uuid4().hex}"
-    clicks = stream(spark, sf_dir).filter("event_type = 'click'").select("event_id", "user_id", "value")
-    clicks.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    found = stream(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_"))
+    found.writeStream.format("memory").outputMode("complete").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 
+def interrupted(rows: DataFrame, path: str, seconds: float = 120.0) -> int:
+    """Write a stream to files, stop it after its first batch, and go on from the checkpoint; the batches of both runs."""
+    checkpoint = shared_folder(rows.sparkSession)
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    first, until = writer.trigger(processingTime="0 seconds").start(), time.monotonic() + seconds
+    while first.isActive and not any(p.numInputRows for p in first.recentProgress) and time.monotonic() < until:
+        time.sleep(0.05)
+    first.stop()
+    second = writer.trigger(availableNow=True).start()
+    second.awaitTermination()
+    return sum(p.numInputRows > 0 for q in (first, second) for p in q.recentProgress)
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
+def s6_file_sink_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file sink that was stopped after a batch and went on: its log of batches says which files count."""
+    path, out = shared_folder(spark), shared_folder(spark)
+    events = table(spark, sf_dir, "events")
+    events.repartition(12, "user_id").write.parquet(path)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    interrupted(rows.filter("event_type = 'click'").select("event_id", "user_id", "value"), out)
+    return spark.read.parquet(out)
+
+
 @query("""
 SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1
 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
@@ -138,23 +185,20 @@ FROM (SELECT * FROM events WHERE event_type = 'click') a LEFT JOIN (SELECT * FRO
 ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR
 """)
 def t7_stream_stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files, a batch each: the table, then a click and a purchase twenty days on by users that don't exist.
+    """Two batches: the table, then a click and a purchase twenty days on by users that don't exist.
 
-    A click without a purchase comes out when the watermark has passed its hour, so the second file lets
+    A click without a purchase comes out when the watermark has passed its hour, so the second batch lets
     out all clicks of the table; its own stays in the state.
     """
-    path = shared_folder(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     later = rows.agg((F.max("ts") + F.expr("interval 20 days")).alias("ts"))
     ends = later.select(F.explode(F.expr("array(struct(-1L AS user_id, 'click' AS event_type), struct(-2L AS user_id, 'purchase' AS event_type))")).alias("e"), "ts")
-    for part in (rows, ends.select(F.lit(None).cast("long").alias("event_id"), "e.*", "ts")):
-        part.coalesce(1).write.mode("append").parquet(path)
-    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    events, steps = staged([rows, ends.select(F.lit(None).cast("long").alias("event_id"), "e.*", "ts")])
     clicks = events.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("a"), F.col("ts").alias("clicked"))
     bought = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("b"), F.col("ts").alias("bought"))
     on = F.expr("a = b and bought >= clicked and bought <= clicked + interval 1 hour")
     joined = clicks.withWatermark("clicked", "10 minutes").join(bought.withWatermark("bought", "10 minutes"), on, "left_outer")
-    return finished(joined.select("click_id", "purchase_id"), "append")
+    return finished(joined.select("click_id", "purchase_id"), "append", steps)
 
 
 @query("""
@@ -162,23 +206,40 @@ SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1
 UNION ALL SELECT date_trunc('day', max(ts) + INTERVAL 10 DAY), 1 FROM events
 """)
 def t8_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four files, a batch each: the table, a row ten days on, one from the first day, and one twenty days on.
+    """Four batches: the table, a row ten days on, one from the first day, and one twenty days on.
 
     The third comes behind the watermark and is dropped; the last only moves the watermark on.
     """
-    path = shared_folder(spark)
     times = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     ends = times.agg(F.min("ts").alias("first_"), F.max("ts").alias("last_"))
-    for part in (
-        times,
-        ends.select((F.col("last_") + F.expr("interval 10 days")).alias("ts")),
-        ends.select(F.col("first_").alias("ts")),
-        ends.select((F.col("last_") + F.expr("interval 20 days")).alias("ts")),
-    ):
-        part.coalesce(1).write.mode("append").parquet(path)
-    rows = spark.readStream.schema(times.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    on = lambda days: ends.select((F.col("last_") + F.expr(f"interval {days} days")).alias("ts"))
+    rows, steps = staged([times, on(10), ends.select(F.col("first_").alias("ts")), on(20)])
     found = rows.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"))
-    return finished(found.select(F.col("window.start").alias("start"), "n"), "append").select(*ntz("start"), "n")
+    return finished(found.select(F.col("window.start").alias("start"), "n"), "append", steps).select(*ntz("start"), "n")
+
+
+def dropped_by(told: list[StreamingQuery]) -> int:
+    """The rows that came behind the watermark, as the progress of the queries tells."""
+    return sum(op.numRowsDroppedByWatermark for q in told for p in q.recentProgress for op in p.stateOperators)
+
+
+@query("""
+WITH late AS (SELECT count(*) AS n FROM events WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 2 DAY)
+SELECT event_type, count(*) AS kept, (SELECT n FROM late) AS dropped FROM events GROUP BY event_type
+""")
+def t8_late_rows_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the first two days come again, under new numbers, when the watermark is far past them.
+
+    Rows behind the watermark are told apart before the step that looks for repeats, so each is counted.
+    An aggregate would count groups, as it adds up before its state.
+    """
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    start = F.broadcast(rows.agg(F.min("ts").alias("start")))  # one row
+    late = rows.join(start, F.col("ts") < F.col("start") + F.expr("interval 2 days")).select((-1 - F.col("event_id")).alias("event_id"), "event_type", "ts")
+    events, steps = staged([rows, late])
+    told: list[StreamingQuery] = []
+    kept = finished(events.withWatermark("ts", "10 minutes").dropDuplicates(["event_id", "ts"]).select("event_type"), "append", steps, told.append)
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("kept")).withColumn("dropped", F.lit(dropped_by(told)).cast("long"))
 
 
 def running_total(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -207,7 +268,7 @@ class Totals(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "n long, total double, batches long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         n, total, batches = self.seen.get() if self.seen.exists() else (0, 0.0, 0)
         for frame in rows:
             n, total = n + len(frame), total + float(frame["value"].sum())
@@ -224,19 +285,138 @@ SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT ear
 """)
 def t9_transform_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each user, after two batches: the events before the median one, and the rest."""
-    path = shared_folder(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     middle = F.broadcast(rows.agg(F.expr("percentile_disc(0.5) within group (order by event_id)").cast("long").alias("middle")))
     marked = rows.crossJoin(middle).withColumn("early", F.col("event_id") < F.col("middle"))  # one row
-    for part in (marked.filter("early"), marked.filter("not early")):
-        part.select("user_id", "value").coalesce(1).write.mode("append").parquet(path)
-    events = spark.readStream.schema("user_id long, value double").option("maxFilesPerTrigger", 1).parquet(path)
+    events, steps = staged([marked.filter("early").select("user_id", "value"), marked.filter("not early").select("user_id", "value")])
     found = events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long, total double, batches long", "update", "none")
-    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with rocks(spark):
+        seen = finished(found, "update", steps)
+    return seen.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "batches"), "n").alias("s")).select("user_id", "s.*")
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """RocksDB as the state store, the only one that transformWithState takes; then the one before again."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name)
-    spark.conf.set(name, rocks)  # the only store that this operator takes
+    spark.conf.set(name, store)
     try:
-        seen = finished(found, "update")
+        yield
     finally:
         spark.conf.set(name, before)
-    return seen.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "batches"), "n").alias("s")).select("user_id", "s.*")
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of a user: events less than GAP microseconds apart. A timer at the end of each gives it out.
+
+    The list state holds the sessions that are open, so events may come in any order within the
+    watermark, and an event may join two sessions into one.
+    """
+
+    GAP = 30 * 60 * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def due(self, last: int) -> int:
+        """When a session is over, in milliseconds."""
+        return -(-(last + self.GAP) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        before = {last for _, last, _ in spans}
+        for frame in rows:
+            spans += [(int(t), int(t), 1) for t in frame["at"]]
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(spans):
+            if merged and first - merged[-1][1] < self.GAP:
+                a, b, k = merged[-1]
+                merged[-1] = (a, max(b, last), k + n)
+            else:
+                merged.append((first, last, n))
+        self.open.put(merged)
+        ends = {last for _, last, _ in merged}
+        for last in before - ends:
+            self.handle.deleteTimer(self.due(last))
+        for last in ends - before:
+            self.handle.registerTimer(self.due(last))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        over = [s for s in spans if self.due(s[1]) <= now]
+        left = [s for s in spans if self.due(s[1]) > now]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        for last in {s[1] for s in over if self.due(s[1]) < now}:
+            self.handle.deleteTimer(self.due(last))
+        if over:
+            yield pd.DataFrame({"user_id": [key[0]] * len(over), "first": [s[0] for s in over], "n": [s[2] for s in over]})
+
+    def close(self) -> None:
+        pass
+
+
+@query(SESSIONS)
+def t9_session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches: the table, and an event far ahead by a user that doesn't exist, which lets all sessions end."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_micros("ts"))
+    end = rows.agg((F.max("ts") + F.expr("interval 20 days")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.unix_micros("ts").alias("at"))
+    events, steps = staged([rows, end])
+    sessions = events.withWatermark("ts", "10 minutes").groupBy("user_id")
+    found = sessions.transformWithStateInPandas(Sessions(), "user_id long, first long, n long", "append", "eventTime")
+    with rocks(spark):
+        seen = finished(found, "append", steps)
+    return seen.select("user_id", F.timestamp_micros("first").cast("timestamp_ntz").alias("start"), "n")
+
+
+class Kinds(StatefulProcessor):
+    """How often a user did each thing (map state), and the last event of each batch (list state); both are forgotten after `ttl` ms."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getMapState("times", "kind string", "n long", self.ttl)
+        self.lasts = handle.getListState("lasts", "event_id long", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, new = -1, Counter()
+        for frame in rows:
+            last = max(last, int(frame["event_id"].max()))
+            new.update(frame["event_type"])
+        for kind, n in new.items():
+            seen = self.times.getValue((kind,))[0] if self.times.containsKey((kind,)) else 0
+            self.times.updateValue((kind,), (seen + n,))
+        self.lasts.appendValue((last,))
+        counts = {k[0]: v[0] for k, v in self.times.iterator()}
+        lasts = [x[0] for x in self.lasts.get()]
+        yield pd.DataFrame({"user_id": [key[0]], "kinds": [len(counts)], "n": [sum(counts.values())], "batches": [len(lasts)], "last_": [max(lasts)]})
+
+    def close(self) -> None:
+        pass
+
+
+def kinds(parts: list[DataFrame], ttl: int) -> DataFrame:
+    """The last state of each user after a batch for each part."""
+    events, steps = staged(parts)
+    schema = "user_id long, kinds long, n long, batches long, last_ long"
+    found = events.groupBy("user_id").transformWithStateInPandas(Kinds(ttl), schema, "update", "processingTime")
+    with rocks(parts[0].sparkSession):
+        seen = finished(found, "update", steps, one_batch=True)
+    return seen.groupBy("user_id").agg(F.max_by(F.struct("kinds", "n", "batches", "last_"), "last_").alias("s")).select("user_id", "s.*")
+
+
+@query("""
+SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n, count(DISTINCT ts < TIMESTAMP '2024-01-15') AS batches, max(event_id) AS last_ FROM events GROUP BY user_id
+""")
+def t9_map_and_list_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches by date; the states live for a day."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    return kinds([rows.filter(early).drop("ts"), rows.filter(~early).drop("ts")], 86_400_000)
