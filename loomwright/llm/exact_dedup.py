@@ -33,7 +33,8 @@ def refined(rows: DataFrame, id: str, full: Column, broadcast_rows: int, narrow:
 
     narrow has _len and _pre of all rows. Lengths that occur once are left out first, then prefix
     hashes that occur once among the lengths that are left. The full hash is taken of what remains,
-    and of one in eight of the other rows (see `sieve`), which then are alone.
+    and of one in eight of the other rows (see `sieve`), which then are alone. rows has a column _tie,
+    by which rows of equal length and id are told apart.
     """
     n_rows = narrow.count()
     of_length, of_prefix = F.xxhash64("_len"), F.xxhash64("_len", "_pre")
@@ -46,10 +47,10 @@ def refined(rows: DataFrame, id: str, full: Column, broadcast_rows: int, narrow:
     prefixes = often(left, of_prefix)
     rows = sieve(rows, of_prefix, prefixes, prefixes.count())
     rows = rows.withColumn("full_hash", F.when(F.col("_maybe"), full)).drop("_maybe")
-    hashed = cut(rows.filter("full_hash is not null").select("full_hash", F.col(id).alias("_id"), "_n"))
-    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
+    hashed = cut(rows.filter("full_hash is not null").select("full_hash", F.col(id).alias("_id"), "_n", "_tie"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie")))
     groups = hashed.groupBy("full_hash").agg(F.count(F.lit(1)).alias("_count"), best.alias("_best")).filter("_count > 1")
-    groups = cut(groups.select("full_hash", "_count", F.col("_best.id").alias("_keep")))
+    groups = cut(groups.select("full_hash", "_count", F.col("_best.id").alias("_keep"), F.col("_best.tie").alias("_tie"), (-F.col("_best.n")).alias("_n")))
     return rows, groups, n_rows
 
 
@@ -62,7 +63,7 @@ def told(rows: DataFrame, groups: DataFrame, n_rows: int, id: str, columns: list
         *columns,
         keep.alias("keep_id"),
         F.coalesce("_group._count", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_group").isNull() | F.col(id).eqNullSafe(keep)).alias("kept"),
+        (F.col("_group").isNull() | (F.col(id).eqNullSafe(keep) & (F.col("_n") == F.col("_group._n")) & (F.col("_tie") == F.col("_group._tie")))).alias("kept"),
         "full_hash",
     )
 
@@ -75,12 +76,15 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", broadca
     only what is left gets a full hash, and is grouped by it. Of equal texts the longest original
     stays, then the smallest id.
 
-    Null text is empty text, and empty texts are equal to each other. A null id loses every tie.
-    Rows that repeat both id and text are one document: each has kept = (id = keep_id), and
-    `first_of_repeats` leaves one of them. Columns that clash with the ones added here are replaced.
+    Null text is empty text, and empty texts are equal to each other. A null id loses every tie. Rows of
+    equal length and id are told apart by a hash of their columns (but arrays, maps and structs), so of
+    different rows one is kept. Rows that are the same in all of these are one document: each is kept
+    if one is, and `first_of_repeats` leaves one of them. Columns that clash with the ones added here
+    are replaced.
     """
     docs = docs.drop(*ADDED)
-    rows = measured(docs, text)
+    plain = [c for c, kind in docs.dtypes if "<" not in kind and kind != "variant"]
+    rows = measured(docs, text).withColumn("_tie", F.xxhash64(*plain))
     rows, groups, n_rows = refined(rows, id, F.sha2(normalised(F.col(text)), 256), broadcast_rows, cut(rows.select("_len", "_pre")))
     return told(rows, groups, n_rows, id, docs.columns, broadcast_rows)
 
@@ -99,11 +103,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document.
 
     The result has the full hash of every text, so it is taken in the one scan that there is, and only
-    ids, lengths and hashes are worked on from there.
+    ids, lengths and hashes are worked on from there. Those are written with a number for each row, so
+    exactly one row of a group is kept, also of rows that repeat id and length.
     """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = measured(docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256)), "text")
-    narrow = cut(rows.select("doc_id", "_len", "_pre", "_n", F.unhex("text_sha256").alias("_sha")))
+    narrow = cut(rows.select("doc_id", "_len", "_pre", "_n", F.unhex("text_sha256").alias("_sha"), F.monotonically_increasing_id().alias("_tie")))
     rows, groups, n_rows = refined(narrow, "doc_id", F.col("_sha"), BROADCAST_ROWS, narrow)
     found = told(rows, groups, n_rows, "doc_id", ["doc_id", "_sha"], BROADCAST_ROWS)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
@@ -117,7 +122,7 @@ WITH d AS (
 SELECT doc_id,
        first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS kept,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) = 1 AS kept,
        text_sha256
 FROM d
 """
