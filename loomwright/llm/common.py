@@ -163,7 +163,8 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id",
     """At most `bound` rows of docs with the label of `labels` (id, label), the first by a hash of the id.
 
     The ids are chosen among all labelled rows first, so only their texts are read on. An id that
-    repeats in docs counts once, with one of its texts; of several labels of an id the greatest counts.
+    repeats in docs counts once, with the row that has the greatest hash of its plain columns; of several
+    labels of an id the greatest counts. So the same rows come out of every run.
     With every_label, a label that would get less has all its rows or an equal part of half the bound,
     so the rows are at most one and a half times the bound, and no label is missed where there are many.
     """
@@ -188,7 +189,10 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int, id: str = "doc_id",
         rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
         own = one.filter(F.col("label").isin(scarce)).filter(order[0] <= limit[F.col("label")])
         chosen = cut(own.withColumn("_rank", rank).filter(F.col("_rank") <= part).drop("_rank").unionByName(chosen))
-    return docs.join(F.broadcast(chosen), id).dropDuplicates([id])
+    found = docs.join(F.broadcast(chosen), id)
+    plain = [c for c, kind in docs.dtypes if "<" not in kind and kind != "variant"]
+    one_each = found.groupBy(id).agg(F.max_by(F.struct(*[c for c in found.columns if c != id]), F.xxhash64(*plain)).alias("_row"))
+    return one_each.select(id, "_row.*").select(*found.columns)
 
 
 def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

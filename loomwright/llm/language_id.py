@@ -17,6 +17,8 @@ SIZE, LETTERS, GRAM = 512, 4096, 3
 #: Labelled documents that the prototypes are bundled from, and half as many more of rare languages, at most.
 SAMPLE = 8_000
 SHARPNESS = 24.0
+#: Parts that an entry of a unit document is counted in when documents are added up.
+UNITS = 1 << 24
 #: Rows of gram vectors that are in memory at once.
 ROWS = 1 << 14
 
@@ -83,11 +85,14 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bundled(texts: list[str | None], place: np.ndarray, n: int) -> np.ndarray:
-    """For each of n languages the sum of its unit documents; place says which each text has."""
+    """For each of n languages the sum of its unit documents, in units of 1 / UNITS; place says which each text has.
+
+    Whole numbers add up to the same sum in any order, so a rerun learns the same prototypes.
+    """
     vectors, letters = bundles(texts)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    total = np.zeros((n, SIZE))
-    np.add.at(total, place, vectors * (letters > 0)[:, None])
+    total = np.zeros((n, SIZE), np.int64)
+    np.add.at(total, place, np.rint(vectors.astype(np.float64) * (letters > 0)[:, None] * UNITS).astype(np.int64))
     return total
 
 
@@ -98,7 +103,7 @@ def unit(total: np.ndarray) -> np.ndarray:
 def prototypes(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Learned language names, sorted, and a unit vector for each: the sum of its unit documents."""
     names, place = np.unique(np.array(langs, object), return_inverse=True) if langs else ([], np.zeros(0, int))
-    total = np.zeros((len(names), SIZE))
+    total = np.zeros((len(names), SIZE), np.int64)
     for a in range(0, len(texts), 256):
         total += bundled(texts[a : a + 256], place[a : a + 256], len(names))
     return list(names), unit(total)
@@ -107,7 +112,8 @@ def prototypes(texts: list[str | None], langs: list[str]) -> tuple[list[str], np
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """`prototypes` of docs (doc_id, text) with labels (doc_id, label), of about `bound` rows, rare languages included.
 
-    Texts are bundled where they are; the driver gets one vector of SIZE numbers for each language.
+    Texts are bundled where they are; the driver gets one vector of SIZE numbers for each language. A
+    row of docs has the id that its label has in labels.
     """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +122,12 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list
             for piece in pieces(batch):
                 names, place = np.unique(np.array(piece.column("label").to_pylist(), object), return_inverse=True)
                 for name, row in zip(names, bundled(piece.column("text").to_pylist(), place, len(names)), strict=True):
-                    total[name] = total.get(name, 0.0) + row
+                    total[name] = total.get(name, 0) + row
         for name, row in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([row.tolist()], pa.list_(pa.float64()))], names=["label", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([row.tolist()], pa.list_(pa.int64()))], names=["label", "row"])
 
     sample = labelled(docs, labels, bound, every_label=True).select("text", F.col("label").cast("string").alias("label"))
-    parts = sample.mapInArrow(tell, "label string, row array<double>").select("label", F.posexplode("row").alias("at", "x"))
+    parts = sample.mapInArrow(tell, "label string, row array<long>").select("label", F.posexplode("row").alias("at", "x"))
     found = parts.groupBy("label", "at").agg(F.sum("x").alias("x")).toArrow()
     names = sorted(set(found["label"].to_pylist()))
     total = np.zeros((len(names), SIZE))
@@ -162,9 +168,14 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, text: str =
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learned from rows with crc32(doc_id) % 5 <> 0."""
+    """doc_id, held_out, lang_pred, score of every document; learned from rows with crc32(doc_id) % 5 <> 0.
+
+    Text and lang are of one row: rows are known by id and lang together, so where an id repeats each
+    text keeps its own.
+    """
     docs = read(spark, sf_dir, "documents")
-    training = docs.filter(~in_fold(F.col("doc_id"), 5, 0)).select("doc_id", F.col("lang").alias("label"))
-    names, vectors = learn(docs.select("doc_id", "text"), training)
+    row = F.xxhash64("doc_id", "lang")
+    training = docs.filter(~in_fold(F.col("doc_id"), 5, 0) & F.col("lang").isNotNull()).select(row.alias("doc_id"), F.col("lang").alias("label"))
+    names, vectors = learn(docs.select(row.alias("doc_id"), "text"), training)
     held = docs.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "text")
     return identify(held, names, vectors)

@@ -108,8 +108,9 @@ def mix(
     at any size, and hands it on in rows of `period` blocks of a source. A null source is the source ''.
     Weights must be positive and are met exactly; sources that `weights` doesn't name get their row
     count to the power POWER, scaled like a whole. More than SOURCES sources are an error: they are to
-    be mapped to groups first. Rows that repeat an id stay, side by side; those without an id are
-    ordered by a hash of their other columns. No rows are collected.
+    be mapped to groups first. Rows that repeat an id stay; those without an id are ordered by a
+    hash of their other columns. A bucket of rows that one task orders is cut further by that hash where
+    it is much too large, as with an id that many rows repeat. No rows are collected.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
@@ -122,7 +123,15 @@ def mix(
     bits = min(30, max(8, math.ceil(math.log2(max(n_rows, 1) / BUCKET_ROWS)) if n_rows else 8))
     bucket = F.shiftrightunsigned(hash_of(0), 64 - bits)
     order = hash_of(1)
-    counts = cut(docs.groupBy(key.alias("_source"), bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")))
+    rows = docs.select("*", key.alias("_source"), bucket.alias("_bucket"), order.alias("_order"))
+    counts = cut(rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    large = cut(counts.filter(F.col("_n") > 4 * BUCKET_ROWS).select("_source", "_bucket", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_subs")))
+    if large.count():  # one for each 4 * BUCKET_ROWS rows at most, so a small table
+        rows = rows.join(F.broadcast(large), ["_source", "_bucket"], "left")
+        rows = rows.withColumn("_sub", F.coalesce(F.pmod(F.xxhash64(F.lit(2), *plain), F.col("_subs")), F.lit(0))).drop("_subs")
+        counts = cut(rows.groupBy("_source", "_bucket", "_sub").agg(F.count(F.lit(1)).alias("_n")))
+    else:
+        rows, counts = rows.withColumn("_sub", F.lit(0).cast("long")), counts.withColumn("_sub", F.lit(0).cast("long"))
     sources = counts.groupBy("_source").agg(F.sum("_n").alias("n")).limit(SOURCES + 1).collect()
     if len(sources) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources: map them to groups and mix those")
@@ -139,13 +148,12 @@ def mix(
     n_slots = sum(len(x) for x in plan.values())
     # a row of the schedule meets period * block rows at most, so there is no hot key
     schedule = F.broadcast(schedule) if n_slots <= BROADCAST_ROWS * 10 else schedule.hint("shuffle_merge")
-    ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_source", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", id)
+    ahead = Window.partitionBy("_source").orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_source", "_bucket", "_sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_source", "_bucket", "_sub").orderBy("_order", id)
     ranked = (
-        docs.select("*", key.alias("_source"), bucket.alias("_bucket"), order.alias("_order"))
-        .withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(before, ["_source", "_bucket"])
+        rows.withColumn("_rank", F.row_number().over(inside) - 1)
+        .join(before, ["_source", "_bucket", "_sub"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
         .withColumn("mix_block", F.floor(F.col("_rank") / block).cast("long"))
         .withColumn("_part", F.floor(F.col("mix_block") / period).cast("long"))
@@ -161,5 +169,9 @@ def mix(
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, mix_block, mix_slot, mix_position of every document."""
-    return mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    """doc_id, source, mix_block, mix_slot, mix_position of every document.
+
+    The rows are numbered as they are written, so that rows without an id, or with one id, differ.
+    """
+    docs = cut(read(spark, sf_dir, "documents").select("doc_id", "source", F.monotonically_increasing_id().alias("row")))
+    return mix(docs).drop("row")
