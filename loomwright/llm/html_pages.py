@@ -22,6 +22,8 @@ PAGES = """
 1|<h2>{4}</h2>
 1|<p>{41}</p>
 1|<p>{7}</p>
+1|<figure><img src=i><figcaption>{1}</figcaption></figure>
+1|<blockquote>{5}</blockquote>
 1|<blockquote><p>{19}</p></blockquote>
 1|<p>{36}</p>
 0|<aside><h3>{2}</h3><p>{17}</p></aside>
@@ -213,6 +215,19 @@ PAGES = """
 1|<article><p>{3}</p></article>
 0|<div class="ad">{13}</div>
 0|<footer>{9}</footer>
+== an item, a note and remarks in an article
+0|<nav><a href=1>{1}</a><a href=2>{1}</a></nav>
+ |<article>
+1|<h1>{4}</h1>
+1|<p>{9}</p>
+1|<p>{6} <a href=3>{2}</a> {2}</p>
+1|<ul><li>{2}</li></ul>
+0|<aside>{5}</aside>
+0|<div class="comments"><p>{10}</p></div>
+ |</article>
+0|<div id="sidebar"><p>{14}</p></div>
+0|<form><p>{6}</p></form>
+0|<footer>{3}</footer>
 == notes in an article
  |<article>
 1|<h1>{11}</h1>
@@ -235,29 +250,65 @@ MARK = re.compile(r"<(/?)(?:article|main)\b[^>]*>")
 NAME = re.compile(r" (?:class|id)=\"(?:[bcstx]\d|k\d?|q|story|post|body|content|entry-content|main-content|standfirst)\"")
 
 
+#: Containers of an article, so many, each opened and closed so, in a page that begins and ends so (with their labels).
+COUNTS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 30, 40)
+CONTAINERS = (
+    ("<section>", "</section>"), ("<div>", "</div>"), ("<article>", "</article>"), ('<div class="b0">', "</div>"),
+    ("<div><div>", "</div></div>"), ("<tr><td>", "</td></tr>"),
+)
+AROUND = (
+    ("0|<div><a href=1>{1}</a> <a href=2>{1}</a> <a href=3>{2}</a></div>", "", "", "0|<footer>{8}</footer>"),
+    ("0|<nav><a href=1>{1}</a><a href=2>{2}</a></nav>", "<main>", "</main>", "0|<aside><p>{14}</p></aside>\n0|<footer><p>{6}</p></footer>"),
+    ("0|<ul><li><a href=1>{1}</a></li><li><a href=2>{2}</a></li></ul>", '<div class="content">', "</div>",
+     '0|<div class="sidebar"><h3>{2}</h3><p>{20}</p></div>\n0|<div class="x1">{4} <a href=4>{4}</a></div>'),
+    ("0|<header><a href=/>{2}</a><p>{4}</p></header>", "", "", "0|<div>{3} <a href=4>{2}</a> <a href=5>{3}</a></div>\n0|<footer>{5}</footer>"),
+)
+
+
+def cut_pages() -> list[str]:
+    """Pages whose article is cut into containers: every number, kind and surrounding, with and without headlines."""
+    out = []
+    for n in COUNTS:
+        for k, (open_, close) in enumerate(CONTAINERS):
+            for j, (before, start, end, after) in enumerate(AROUND):
+                head = (n + k + j) % 3
+                rows = open_.startswith("<tr")
+                lines = [before, f" |{start}{'<table>' if rows else ''}"]
+                if head == 0:
+                    lines.append("1|<h1>{6}</h1>")
+                for i in range(n):
+                    title = "<h2>{2}</h2>" if head < 2 else ""
+                    more = "<p>{8}</p>" if (i + j) % 4 == 1 else "<blockquote>{4}</blockquote>" if (i + j) % 8 == 3 else ""
+                    lines.append(f"1|{open_}{title}<p>{{19}}</p>{more}{close}")
+                out.append("\n".join(["", *lines, f" |{'</table>' if rows else ''}{end}", after]))
+    return out
+
+
 def labelled_pages() -> list[tuple[str, list[tuple[int, int]]]]:
     """Every page with, for each of its lines, the offset it starts at and its label (-1: no text).
 
-    Each page comes TIMES times, with other numbers of words (a half to twice as many, but for single
+    Each of PAGES comes TIMES times, with other numbers of words (a half to twice as many, but for single
     words), every second time without names of its parts, every third time without article and main.
+    Each of cut_pages comes once, varied in the same way.
     """
     random, out = np.random.default_rng(3), []
-    for page in PAGES.split("\n== ")[1:]:
-        for turn in range(TIMES):
-            text, lines = "<html><body>", []
-            for line in page.splitlines()[1:]:
-                markup = line[2:]
-                if turn % 2:
-                    markup = NAME.sub("", markup)
-                if turn % 3 == 2:
-                    markup = MARK.sub(r"<\1div>", markup)
+    turns = [(page, turn) for page in PAGES.split("\n== ")[1:] for turn in range(TIMES)]
+    turns += [(page, 1 + 2 * (i % 2) * (i % 3 == 0)) for i, page in enumerate(cut_pages())]
+    for page, turn in turns:
+        text, lines = "<html><body>", []
+        for line in page.splitlines()[1:]:
+            markup = line[2:]
+            if turn % 2:
+                markup = NAME.sub("", markup)
+            if turn % 3 == 2:
+                markup = MARK.sub(r"<\1div>", markup)
 
-                def filled(m: re.Match) -> str:
-                    n = int(m[1])
-                    n = n if n < 2 or not turn else max(1, round(n * 2 ** random.uniform(-1, 1)))
-                    return " ".join("word" for _ in range(n))
+            def filled(m: re.Match) -> str:
+                n = int(m[1])
+                n = n if n < 2 or not turn else max(1, round(n * 2 ** random.uniform(-1, 1)))
+                return " ".join("word" for _ in range(n))
 
-                lines.append((len(text), -1 if line[0] == " " else int(line[0])))
-                text += re.sub(r"\{(\d+)\}", filled, markup) + "\n"
-            out.append((text, lines))
+            lines.append((len(text), -1 if line[0] == " " else int(line[0])))
+            text += re.sub(r"\{(\d+)\}", filled, markup) + "\n"
+        out.append((text, lines))
     return out

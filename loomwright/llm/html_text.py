@@ -2,9 +2,10 @@
 
 A page is cut into blocks of text. A block is described by its words and link density, those of the
 blocks before and after it, and what it stands in: an element for other things than the article (by
-its kind or its name), an element marked as the article, and the part of the page's text that its
-container holds. Names alone decide nothing: an element that is named for boilerplate but holds most
-of the page is a wrapper, and a mark on a small part of the text is none.
+its kind or its name), an element marked as the article, and its container with the containers like
+it, which stand in the same kinds of elements: an article cut into forty sections is no less one than
+an article in a single section. Names alone decide nothing: an element that is named for boilerplate
+but holds most of the page is a wrapper, and a mark on a small part of the text is none.
 """
 
 from __future__ import annotations
@@ -46,11 +47,15 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements for other things than the article. What holds most of a page can be a form, but none of the others.
 SIDE, SOFT = set("aside dialog footer menu nav".split()), {"fieldset", "form"}
 #: Elements that contain the blocks of one part of a page.
-PARTS = set("address article aside body center dialog div fieldset figure footer form html main menu nav section td th".split())
+PARTS = set("address article aside body center dialog div fieldset footer form html main menu nav section td th".split())
 HELD = BLOCKS | UNREAD | {"span"}
 
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAMING = {"class", "id", "role", "aria-label", "itemprop"}
+NUMBER = re.compile(r"[\d_-]+")
+#: Names by which a paragraph or a headline says that it is none of the article; others on them say little.
+STRICT = re.compile(r"(?:^|\s)(?:ads?|advert\w*|copyright|newsletter|promo|sponsored)(?=$|\s)", re.I)
+LINES = {"p", "blockquote", "caption", "figcaption", "pre", *HEADS}
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: Names for how a page is laid out: what it has besides, or where.
 LAYOUT = re.compile(
@@ -79,9 +84,13 @@ NONE, CALLED, MARKED = range(3)
 #: headline or is a form, and otherwise; the part that elements marked as the article must hold, and named ones.
 MOST, NEARLY_ALL, MARKED_PART, CALLED_PART = 0.5, 0.8, 0.3, 0.5
 
-FEATURES = "side bad main outside head item paragraph home own link words before_words before_link after_words after_link".split()
-#: Depth of the tree, and blocks in a leaf at least.
-DEPTH, LEAF = 9, 3
+FEATURES = "side bad main outside head item paragraph home own held held_link link words before_words before_link after_words after_link".split()
+#: Features that a text can only gain by: the tree splits at them only where more of them means more of the article.
+RISING = {FEATURES.index(f) for f in ("main", "home", "own", "held")}
+#: Depth of the tree, blocks in a leaf at least, and the levels from the top that ask for words and links alone.
+DEPTH, LEAF, FLAT = 10, 3, 2
+#: Words and link density of a block and of those beside it.
+FLAT_FEATURES = {FEATURES.index(f) for f in ("link", "words", "before_words", "before_link", "after_words", "after_link")}
 
 
 @dataclass
@@ -98,13 +107,14 @@ class Block:
 
 @dataclass
 class Page:
-    """Blocks, and of each element that can hold some: the one it stands in, its name, what it speaks against and for."""
+    """Blocks, and of each element that can hold some: the one it stands in, its name, what it speaks against and for, its kind (name and first class)."""
 
     blocks: list[Block] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     element: list[str] = field(default_factory=list)
     against: list[int] = field(default_factory=list)
     given: list[int] = field(default_factory=list)
+    kind: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -124,26 +134,32 @@ class Tree:
         return node.share >= 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF) -> Tree:
-    """Split by the least Gini impurity, until a node is pure, `depth` deep or too small; of equal splits the first."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF, flat: int = FLAT) -> Tree:
+    """Split by the least Gini impurity, until a node is pure, `depth` deep or too small; of equal splits the first.
+
+    The first `flat` levels split by words and link density of a block and its neighbours; what a block
+    stands in is asked for below them, of blocks that are alike in these.
+    """
     node = Tree(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
         return node
     best = None
-    for j in range(x.shape[1]):
+    for j in sorted(FLAT_FEATURES) if flat > 0 else range(x.shape[1]):
         order = np.argsort(x[:, j], kind="stable")
         value, good = x[order, j], np.cumsum(y[order])
         n = np.arange(1, len(y))
         left, right = good[:-1], good[-1] - good[:-1]
         impurity = left * (1 - left / n) + right * (1 - right / (len(y) - n))
         impurity[(value[1:] == value[:-1]) | (n < leaf) | (len(y) - n < leaf)] = np.inf
+        if j in RISING:
+            impurity[left / n > right / (len(y) - n)] = np.inf
         k = int(impurity.argmin()) if len(impurity) else -1
         if k >= 0 and impurity[k] < (best[0] - 1e-9 if best else np.inf):
             best = (float(impurity[k]), j, float((value[k] + value[k + 1]) / 2))
     if best is not None:
         _, node.column, node.at = best
         low = x[:, node.column] <= node.at
-        node.low, node.high = grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf)
+        node.low, node.high = grow(x[low], y[low], depth - 1, leaf, flat - 1), grow(x[~low], y[~low], depth - 1, leaf, flat - 1)
     return node
 
 
@@ -166,15 +182,23 @@ def evidence(element: str, attributes: str) -> tuple[int, int]:
     if element in ("html", "body"):  # these hold the whole page
         return CLEAN, NONE
     title = HEADLINE.sub("", LAYOUT.sub("", " ".join(names)))
-    against = OTHER if element in SIDE or TALK.search(title) else NAMED if element in SOFT or title and BAD.search(title) else CLEAN
+    against = OTHER if element in SIDE or TALK.search(title) else NAMED if element in SOFT or title and (STRICT if element in LINES else BAD).search(title) else CLEAN
     if element in ("article", "main") or "articleBody" in names or "main" in names:
         return against, MARKED
     return against, CALLED if title and not against and GOOD.search(title) else NONE
 
 
+def kind_of(element: str, attributes: str) -> str:
+    """The name of an element with its first class, without the digits that number it."""
+    if element not in PARTS or "class" not in attributes.lower():
+        return element
+    names = next((m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class"), "").split()
+    return f"{element}.{NUMBER.sub('', names[0])}" if names else element
+
+
 def parse(page: str) -> Page:
     """All text blocks in page order, with the elements around them. A line break is white space; two in a row end a block."""
-    out = Page([], [-1], ["html"], [CLEAN], [NONE])
+    out = Page([], [-1], ["html"], [CLEAN], [NONE], ["html"])
     stack = [0]  # elements that are open
     places: dict[str, list[int]] = {"html": [0]}  # of each kind of element, where in the stack it is
     edges = [0]  # where in the stack the elements are whose end tags reach far
@@ -258,6 +282,7 @@ def parse(page: str) -> Page:
             flush()
         out.parent.append(stack[-1])
         out.element.append(name)
+        out.kind.append(kind_of(name, m[4]))
         out.against.append(against)
         out.given.append(given)
         if name not in SMALL:
@@ -330,10 +355,24 @@ def described(page: Page) -> tuple[list[Block], list[list[float]]]:
     for i in range(n):
         part[i] = i if element[i] in PARTS else part[parent[i]] if i else 0
 
-    direct = [0.0] * n
+    direct, words, linked = [0.0] * n, [0.0] * n, [0.0] * n  # of each container's own blocks
     for i in range(n):
         if not hard[i] and not bad[i]:
             direct[part[i]] += text[i]
+    for b in page.blocks:
+        words[part[b.node]] += b.words
+        linked[part[b.node]] += b.words * b.link
+    # containers that stand in the same kinds of containers are alike, and count together
+    paths: dict[tuple[int, str], int] = {}
+    path = [0] * n
+    for i in range(1, n):
+        up = path[parent[i]]
+        path[i] = paths.setdefault((up, page.kind[i]), len(paths) + 1) if part[i] == i else up
+    own_words, home_words = [0.0] * (len(paths) + 1), [0.0] * (len(paths) + 1)
+    for i in range(n):
+        if part[i] == i:
+            own_words[path[i]] += direct[i]
+            home_words[path[i]] += good[i]
 
     hidden = [False] * n
     for i in range(n):
@@ -346,7 +385,8 @@ def described(page: Page) -> tuple[list[Block], list[list[float]]]:
         rows.append(
             [
                 float(hard[i]), float(bad[i]), float(inside[i] >= level), float(level <= MARKED and inside[i] < level),
-                float(b.head), float(element[i] in ITEMS), float(element[i] == "p"), good[part[i]] / whole, direct[part[i]] / whole, b.link, float(b.words),
+                float(b.head) + float(element[i] == "h1"), float(element[i] in ITEMS), float(element[i] == "p"),
+                home_words[path[i]] / whole, own_words[path[i]] / whole, good[part[i]], linked[part[i]] / max(words[part[i]], 1.0), b.link, float(b.words),
                 float(before.words if before else 0), before.link if before else 0.0,
                 float(after.words if after else 0), after.link if after else 0.0,
             ]

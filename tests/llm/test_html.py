@@ -148,3 +148,54 @@ def test_text_of_the_tables_is_their_articles(spark):
         inside = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1].replace("<br>", " ")
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
         assert r.text == "\n".join(x for x in parts if x)
+
+
+NAV = "<div><a href=a>Home</a> <a href=b>News</a> <a href=c>More things</a></div>"
+FOOT = "<footer>Copyright nineteen ninety nine by us all</footer>"
+WORDS = " ".join(f"w{i}" for i in range(19))
+KINDS = [("<section>", "</section>"), ("<div>", "</div>"), ("<article>", "</article>"), ("<div class=k@>", "</div>"), ("<tr><td>", "</td></tr>"),
+         ("<div class=row><div class=col>", "</div></div>")]
+
+
+@pytest.mark.parametrize(("open_", "close"), KINDS)
+@pytest.mark.parametrize(("start", "end"), [("", ""), ("<main>", "</main>"), ("<div class=content>", "</div>")])
+def test_an_article_in_any_number_of_containers_loses_no_block(open_, close, start, end):
+    """1 to 40 of each kind, with headlines or without, with a main headline or without; what is around it goes."""
+    for n in range(1, 41):
+        for title in ("", "<h1>The big headline</h1>"):
+            for heads in (True, False):
+                body, want = [], ["The big headline"] if title else []
+                for i in range(n):
+                    text = f"p{i} {WORDS}" + (" words here" if n % 2 else "")
+                    want += [f"S{i} head", text] if heads else [text]
+                    body.append(f"{open_.replace('@', str(i))}{f'<h2>S{i} head</h2>' if heads else ''}<p>{text}</p>{close}")
+                table = ("<table>", "</table>") if open_.startswith("<tr") else ("", "")
+                page = f"<html><body>{NAV}{start}{title}{table[0]}{''.join(body)}{table[1]}{end}{FOOT}</body></html>"
+                assert html_text.main_text(page).split("\n") == want, (n, title, heads)
+
+
+@pytest.mark.parametrize(
+    "line", ['<p class="share-price">The price of a share rose</p>', '<p class="side">Both of the sides agreed</p>', "<blockquote>To be short</blockquote>", "<figure><figcaption>Berlin</figcaption></figure>"]
+)
+def test_lines_with_odd_names_or_few_words_stay(line):
+    page = f"<body>{NAV}<article><h1>Head</h1><p>{WORDS}</p>{line}<p>{WORDS}</p></article>{FOOT}"
+    assert html_text.main_text(page).split("\n")[2:3] == [html_text.re.sub("<[^>]+>", "", line)]
+
+
+def test_words_and_links_of_a_block_and_its_neighbours_carry_the_tree():
+    """Their part of what the splits of the tree gain, and that no split takes text away for more of the article."""
+    x, y = html_text.labelled_blocks()
+    gain = np.zeros(x.shape[1])
+    impurity = lambda v: len(v) * v.mean() * (1 - v.mean()) if len(v) else 0.0
+
+    def walk(node, x, y):
+        if node.column >= 0:
+            low = x[:, node.column] <= node.at
+            gain[node.column] += impurity(y) - impurity(y[low]) - impurity(y[~low])
+            assert node.column not in html_text.RISING or y[low].mean() <= y[~low].mean()
+            walk(node.low, x[low], y[low])
+            walk(node.high, x[~low], y[~low])
+
+    walk(html_text.trained(), x, y)
+    beside = [html_text.FEATURES.index(f) for f in ("before_words", "before_link", "after_words", "after_link")]
+    assert gain[sorted(html_text.FLAT_FEATURES)].sum() > 0.5 * gain.sum() and gain[beside].sum() > 0.1 * gain.sum()
