@@ -166,17 +166,19 @@ def f14_map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS variant_k, CAST(len(regexp_extract_all(props, '[0-9]')) AS INTEGER) AS digits,
-       array_to_string(regexp_extract_all(props, '[0-9]'), '') AS all_digits, 'shop.example' AS host, 'a b' AS decoded, event_type AS csv_second, CAST(event_id AS VARCHAR) AS xml_id,
+       array_to_string(regexp_extract_all(props, '[0-9]'), '') AS all_digits, event_type || '.shop.example' AS host, 'user ' || CAST(user_id AS VARCHAR) || '/é' AS decoded, event_type AS csv_second, CAST(event_id AS VARCHAR) AS xml_id,
        event_type = 'click' OR event_type = 'CLICK' AS same_folded
 FROM events
 """)
 def f14_variant_xml_csv_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv = F.concat_ws(",", F.col("event_id").cast("string"), "event_type")
+    asked = F.url_encode(F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit("/é")))
+    url = F.concat(F.lit("https://"), F.col("event_type"), F.lit(".shop.example/a?u="), asked, F.lit("&b=1"))
     xml = F.concat(F.lit("<e><id>"), F.col("event_id").cast("string"), F.lit("</id></e>"))
     return table(spark, sf_dir, "events").select(
         "event_id", F.variant_get(F.parse_json("props"), "$.k", "int").alias("variant_k"), F.regexp_count("props", F.lit("[0-9]")).alias("digits"),
         F.array_join(F.regexp_extract_all("props", F.lit("[0-9]"), F.lit(0)), "").alias("all_digits"),
-        F.parse_url(F.lit("https://shop.example/a?b=1"), F.lit("HOST")).alias("host"), F.url_decode(F.lit("a%20b")).alias("decoded"),
+        F.parse_url(url, F.lit("HOST")).alias("host"), F.url_decode(F.parse_url(url, F.lit("QUERY"), F.lit("u"))).alias("decoded"),
         F.from_csv(csv, "id long, kind string")["kind"].alias("csv_second"), F.xpath_string(xml, F.lit("e/id")).alias("xml_id"),
         (F.collate("event_type", "UTF8_LCASE") == F.collate(F.lit("CLICK"), "UTF8_LCASE")).alias("same_folded"),
     )
@@ -189,3 +191,18 @@ def f10_zip_with_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
     products = F.zip_with("embedding", "next", lambda a, b: a.cast("double") * b.cast("double"))
     return e.join(f, "vec_id").select("vec_id", F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 6).alias("dot"))
+
+
+@query("""
+SELECT event_id, event_id AS id, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN value END AS value, CAST(event_id % 4 AS INTEGER) AS tags, event_id % 7 = 0 AS broken FROM events
+""")
+def f14_from_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as XML with attributes, repeated elements, ones that are missing, and records that don't parse."""
+    tags = F.array_join(F.transform(F.when(F.col("event_id") % 4 > 0, F.sequence(F.lit(1), (F.col("event_id") % 4).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("<tag>"), i.cast("string"), F.lit("</tag>"))), "")
+    value = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("<value>"), F.col("value").cast("string"), F.lit("</value>"))).otherwise("")
+    whole = F.concat(F.lit('<e id="'), F.col("event_id").cast("string"), F.lit('"><kind>'), F.col("event_type"), F.lit("</kind>"), value, tags, F.lit("</e>"))
+    torn = F.concat(F.lit("<e><kind>"), F.col("event_type"))
+    schema = "_id long, kind string, value double, tag array<int>, bad string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_xml(whole, schema, options).alias("x"), F.from_xml(F.when(F.col("event_id") % 7 == 0, torn).otherwise(whole), schema, options).alias("y"))
+    return rows.select("event_id", F.col("x._id").alias("id"), "x.kind", "x.value", F.coalesce(F.size("x.tag"), F.lit(0)).alias("tags"), F.col("y.bad").isNotNull().alias("broken"))

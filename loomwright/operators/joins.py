@@ -125,6 +125,17 @@ def j8_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
         LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""")
 
 
+@query("""
+SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (
+  SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)
+""")
+def j8_lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two dearest orders of each customer; outer() is a column of the side before."""
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
+    own = o.filter(F.col("o_custkey") == F.col("c_custkey").outer()).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2)
+    return c.lateralJoin(own.select("o_orderkey", "o_totalprice")).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
 def free(prefix: str, *frames: DataFrame) -> str:
     """A column name that no frame has."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 def load() -> tuple[dict, dict[str, str]]:
     """The registered queries and their SQL, after importing the modules that register them."""
     from loomwright.functions import scalar  # noqa: F401
-    from loomwright.operators import aggregates, filters, joins, ranges, sets, udfs, windows  # noqa: F401
+    from loomwright.operators import aggregates, filters, joins, ranges, sets, sketches, udfs, windows  # noqa: F401
     from loomwright.sources import databases, files, logged  # noqa: F401
     from loomwright.streaming import events  # noqa: F401
 
