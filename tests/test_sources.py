@@ -18,7 +18,7 @@ def test_jdbc_reads_parts_and_pushes_filters(spark, small):
     assert found.rdd.getNumPartitions() == 4 and found.count() == orders.count()
     some = found.filter("o_totalprice > 1000 and o_orderstatus = 'F'").select("o_orderkey")
     pushed = inspect.physical(some)
-    assert "*GreaterThan(o_totalprice,1000.0)" in pushed and "*EqualTo(o_orderstatus,F)" in pushed and "[numPartitions=4] [o_orderkey" in pushed
+    assert "*GreaterThan(o_totalprice,1000.0)" in pushed and "*EqualTo" in pushed and "Filter" not in inspect.operators(some) and "[numPartitions=4] [o_orderkey" in pushed
     databases.write_jdbc(orders.limit(5), name="orders", mode="append", **to)
     assert found.count() == orders.count() + 5
     databases.write_jdbc(orders.limit(0), name="none", **to)
