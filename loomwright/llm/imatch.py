@@ -23,10 +23,10 @@ CELL_BITS = 20
 BAND = (10, 1_000)
 #: Subsets of a level that are hashed, and levels.
 SUBSETS, LEVELS = 32, 3
-#: Hexadecimal digits of a subset's hash, and what stands for a subset without terms.
-DIGITS, EMPTY = 4, "...."
-#: Documents in one bucket of neighbours, about, until there are most buckets.
-BUCKET_ROWS, BUCKETS = 256, 1 << 16
+#: Hexadecimal digits of a subset's hash, what stands for a subset without terms, and the hash of an array of none.
+DIGITS, EMPTY, NOTHING = 4, "....", 42
+#: Documents in one bucket of neighbours, about, until there are so many buckets; keys that one task puts in order.
+BUCKET_ROWS, BUCKETS, RANGE_ROWS = 256, 1 << 16, 1 << 14
 
 
 def power(n: Column) -> Column:
@@ -75,31 +75,29 @@ def fingerprinted(docs: DataFrame, lex: DataFrame, text: str = "text", name: str
     found = found.withColumn("_terms", F.sort_array(terms)).drop("_all", "_band")
     found = found.withColumn("_level", F.length(F.bin(F.size("_terms"))) - 1)
 
-    def subset(h: Column, level: Column) -> Column:
-        return F.shiftrightunsigned(h, CELL_BITS).bitwiseAND(power(level) - 1)
-
     def digits(h: Column, n: int) -> Column:
         return F.lower(F.lpad(F.hex(h), n, "0"))
 
     parts = [digits(F.xxhash64("_terms"), 16), F.lpad(F.col("_level").cast("string"), 2, "0")]
 
-    def hashed(name: str, level: Column) -> Column:
-        """The hashes of the first subsets of a level, one after the other."""
-
-        def one(j: Column) -> Column:
-            own = F.filter(name, lambda h: subset(h, level) == j)
-            return F.when(F.size(own) == 0, EMPTY).otherwise(digits(F.xxhash64(own).bitwiseAND((1 << 4 * DIGITS) - 1), DIGITS))
+    def hashed(name: str, most: str) -> Column:
+        """The hashes of the first subsets of a level, one after the other; `most` has the number of the last."""
 
-        numbers = F.sequence(F.lit(0).cast("long"), F.least(power(level), F.lit(SUBSETS).cast("long")) - 1)
-        return F.array_join(F.transform(numbers, one), "")
+        numbers = F.sequence(F.lit(0).cast("long"), F.col(most))
+        hashes = F.transform(numbers, lambda j: F.xxhash64(F.filter(name, lambda g: g.bitwiseAND(F.col(most)) == j)))
+        shown = F.transform(hashes, lambda h: F.when(h == NOTHING, EMPTY).otherwise(digits(h.bitwiseAND((1 << 4 * DIGITS) - 1), DIGITS)))
+        return F.array_join(shown, "")
 
-    def first(name: str, level: Column) -> Column:
-        return F.filter(name, lambda h: subset(h, level) < SUBSETS)
+    def first(name: str, mask: Column) -> Column:
+        return F.filter(name, lambda g: g.bitwiseAND(mask) < SUBSETS)
 
-    for i in range(LEVELS):  # a subset of a level is part of one of the level before
-        level = F.col("_level") + i
-        found = found.withColumn(f"_in{i}", first(f"_in{i - 1}" if i else "_terms", level))
-        parts.append(hashed(f"_in{i}", level))
+    # the bits of a hash above its cell say which subset of a level it is in; one of a level is part of one of the level before
+    found = found.withColumn("_in", F.transform("_terms", lambda h: F.shiftrightunsigned(h, CELL_BITS)))
+    for i in range(LEVELS):
+        mask = power(F.col("_level") + i) - 1
+        found = found.withColumn(f"_most{i}", F.least(mask, F.lit(SUBSETS - 1).cast("long")))
+        found = found.withColumn(f"_in{i}", first(f"_in{i - 1}" if i else "_in", mask))
+        parts.append(hashed(f"_in{i}", f"_most{i}"))
     return found.select(*docs.columns, F.concat_ws(":", *parts).alias(name))
 
 
@@ -147,9 +145,12 @@ def with_next(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: tu
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text").alias("text"))
     keys = cut(rows.groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("_copies")))
     n_keys = keys.count()
-    n_buckets = max(1, min(BUCKETS, -(-n_keys // BUCKET_ROWS)))
-    ranges = keys.select(order.alias("_key")).repartitionByRange(n_buckets, "_key").groupBy(F.spark_partition_id()).agg(F.min("_key").alias("_key"))
+    every = max(BUCKET_ROWS, -(-n_keys // BUCKETS))
+    in_order = keys.select(order.alias("_key")).repartitionByRange(max(1, -(-n_keys // RANGE_ROWS)), "_key").sortWithinPartitions("_key")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in its partition
+    ranges = in_order.select("_key", place.alias("_place")).filter(F.col("_place") % every == 0).select("_key")
     bounds = cut(ranges.agg(F.sort_array(F.collect_list("_key")).alias("bounds")))
+    n_buckets = max(1, bounds.select(F.size("bounds")).first()[0])
     again = cut(keys.filter("_copies > 1").select("_id", "_text", "_copies"))
     n_again = again.count()
     if n_again:
