@@ -115,8 +115,10 @@ def attach(
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_is_hot") | alone, 1 + F.pmod(F.xxhash64(salt), F.lit(SALTS))).otherwise(0).cast("int")
     )
+    # always 0, but no constant: Spark would take a constant out of the keys, and hash by the rest alone
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
     return (
-        dealt.join(table.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
+        dealt.join(table.withColumn("_salt", zero), [*keys, "_salt"], "left")
         .withColumn(name, F.coalesce("_hot", "_cold"))
         .drop("_hot", "_cold", "_salt", "_is_hot")
     )
