@@ -54,11 +54,12 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(texts), SIZE), np.float32)
     if not len(number):
         return out, letters
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    place = np.arange(len(number)) - at[owner]
     padded = np.concatenate([[0] * (GRAM - 1), number])
     code = np.zeros(len(number), np.int64)
-    for i in range(GRAM):
-        code = code * LETTERS + padded[i : i + len(number)]
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    for i in range(GRAM):  # before a text there are breaks, not the letters of the text before it
+        code = code * LETTERS + np.where(place >= GRAM - 1 - i, padded[i : i + len(number)], 0)
     key = np.sort(owner * LETTERS**GRAM + code)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     weight = np.sqrt(np.diff(np.append(first, len(key)))).astype(np.float32)
