@@ -114,7 +114,10 @@ def shared_windows(
     else:
         scanned = cut(scanned)
         narrow = scanned.drop("_fps")
-        found = scanned.select("_text", F.explode("_fps").alias("_fp")).join(item_prints, "_fp", "left_semi")
+        each = scanned.select("_text", F.explode("_fps").alias("_fp"))
+        marked = item_prints.withColumn("is", F.lit(True))
+        found = attach(each, marked, ["_fp"], "is", weight(scanned, "_fps"), item_prints.count(), F.xxhash64("_text"), "_in", broadcast_rows)
+        found = found.filter("_in is not null").select("_text", "_fp")
     wanted = cut(
         found.groupBy("_text", "_fp")
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -142,9 +145,11 @@ def shared_windows(
         (F.col("_hit.start") + F.col("_hit.n")).alias("end"),
         F.array_join(F.transform(positions(F.col("_hit.n")), lambda j: F.get("_words", F.col("_hit.start") + j)), " ").alias("_window"),
     )
-    few = item_windows.count() <= broadcast_rows
-    windows = item_windows.select("_window").distinct()
-    hits = cut(hits.join(F.broadcast(windows) if few else windows, "_window", "left_semi"))
+    # the items of a window are listed once, whatever the number of texts that have it
+    of_window = cut(item_windows.groupBy("_window").agg(F.collect_list("_item").alias("items")))
+    hits = cut(hits)
+    hits = attach(hits, of_window, ["_window"], "items", hits.count(), weight(of_window, "items"), F.xxhash64("_text", "start"), "_of", broadcast_rows)
+    hits = cut(hits.filter("_of is not null").select("_text", "start", "end", "_window", F.col("_of.items").alias("_items")))
 
     def step(state: Column, x: Column) -> Column:
         gained = F.greatest(x["end"] - F.greatest(x["start"], state["end"]), F.lit(0))
@@ -160,13 +165,10 @@ def shared_windows(
         ).alias("n_hit"),
     )
     named = (
-        hits.select("_text", "_window")
-        .distinct()
-        .join(F.broadcast(item_windows) if few else item_windows, "_window")
-        .select("_text", "_item")
-        .distinct()
+        hits.select("_text", "_window", "_items")
+        .dropDuplicates(["_text", "_window"])
         .groupBy("_text")
-        .agg(F.sort_array(F.collect_list("_item")).alias("items"))
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items"))
     )
     result = covered.join(named, "_text").join(wanted.select("_text", "copies"), "_text")
     return narrow, cut(result)
