@@ -31,6 +31,8 @@ WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.99999
 LONG_ROWS, HOST, FEW = 12, 16, 200
 #: Sets without a home that must be near one centre, to be compared in blocks and not pair by pair.
 CROWD = 1_000
+#: Partners of one set that it is sent to at once.
+SHIPPED = 4_096
 #: Steps in which distances are rounded up; sets and n-grams of a block, about; columns compared at once.
 STEPS, BLOCK_SETS, BLOCK_GRAMS, WIDE = 1_000, 200, 60_000, 8_192
 
@@ -154,9 +156,15 @@ def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
                 [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"]
             )
 
-    joined = pairs.join(grams.select(F.col("_set").alias("a"), F.col("_grams").alias("_x")).hint("shuffle_merge"), "a").join(
-        grams.select(F.col("_set").alias("b"), F.col("_grams").alias("_y")).hint("shuffle_merge"), "b"
-    )
+    # a set with many partners goes to each SHIPPED of them once, and not once a pair, so no key has more rows than that
+    many = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SHIPPED).select("a", F.ceil(F.col("_n") / SHIPPED).alias("_deals")))
+    few = many.count() <= BROADCAST_ROWS
+    deals = F.broadcast(many) if few else many.hint("shuffle_merge")
+    dealt = pairs.join(deals, "a", "left").withColumn("_deal", F.pmod(F.xxhash64("b"), F.coalesce("_deals", F.lit(1)))).drop("_deals")
+    first = grams.select(F.col("_set").alias("a"), F.col("_grams").alias("_x")).join(deals, "a", "left")
+    first = first.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    second = grams.select(F.col("_set").alias("b"), F.col("_grams").alias("_y"))
+    joined = dealt.join(second.hint("shuffle_merge"), "b").join(first.hint("shuffle_merge"), ["a", "_deal"])
     return joined.select("a", "b", "_x", "_y").mapInArrow(tell, "a binary, b binary, both long, either long")
 
 
