@@ -331,7 +331,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
                 x = field.summary(field.marginals(words, known, score), np.searchsorted(known, words.first))
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), piece.column("label")], names=["top", "sum", "label"])
 
-    x = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sums_of, "top double, sum double, label int").orderBy("top", "sum", "label").toArrow().to_pandas()
+    x = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(sums_of, "top double, sum double, label int").toArrow().to_pandas()
+    x = x.sort_values(["top", "sum", "label"])  # the same sums on every run
     field.document = logistic(np.column_stack([np.ones(len(x)), x["top"], x["sum"]]), (x["label"] == 1).to_numpy(float))
     return field
 

@@ -163,7 +163,7 @@ def fingerprint_by_hand(text, cells):
     level = len(terms).bit_length() - 1
     out = [f"{chained(terms):016x}", f"{level:02d}"]
     for k in range(level, level + 3):
-        sets = [[h for h in terms if (h & (1 << 64) - 1) >> 20 & (1 << k) - 1 == j] for j in range(min(1 << k, 32))]
+        sets = [[g for h in terms if (g := (h & (1 << 64) - 1) >> 20) & (1 << k) - 1 == j] for j in range(min(1 << k, 32))]
         out.append("".join(f"{chained(s) & 0xFFFF:04x}" if s else "...." for s in sets))
     return ":".join(out)
 
