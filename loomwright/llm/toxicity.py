@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from loomwright.llm.arrays import BYTE_CODES, LOWER, Table, Words, as_bytes, mixed, pieces, powers, sums
 from loomwright.llm.common import cut, in_fold, labelled, read, shielded
 
-#: Labelled documents to learn from, and half as many more of a rare label; different chains of words of them, at most.
-SAMPLE, CHAINS = 20_000, 1 << 16
+#: Labelled documents to learn from, and half as many more of a rare label. The different chains of words
+#: of them are learned from on the driver if they are at most CHAINS, else where they are, in PARTS tasks.
+SAMPLE, CHAINS, PARTS = 20_000, 1 << 16, 64
 #: A trait needs so many toxic documents, and so large a part of its documents (in equal classes) toxic.
 SUPPORT, PURITY = 4, 0.97
 #: Steps of learning; neighbours kept between known words while learning; length of a chain then.
@@ -261,19 +262,53 @@ def likelihood(theta: np.ndarray, g: Gold) -> tuple[float, np.ndarray]:
     return float(value @ g.times), grad
 
 
-def fit(sequences: list[tuple[list[list[int]], list[int], int]], n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
+Sequences = list[tuple[list[list[int]], list[int], int]]
+
+
+def unknown(n: int) -> tuple[list[list[int]], list[int], int]:
+    """The chain of unknown words, all clean, that is added to n others, and how often."""
+    return [[]] * 8, [0] * 8, max(10, n // 4)
+
+
+def fit(sequences: Sequences, n_features: int, transitions: bool = True) -> tuple[np.ndarray, float, np.ndarray]:
+    """The weights, bias and moves of chains that are here: features of each word, states, and how often the chain occurs."""
+    n = sum(k for _, _, k in sequences)
+    chains = gold([*sequences, unknown(n)], n_features)
+    return climb(lambda theta: likelihood(theta, chains)[1], chains.times.sum(), n_features, transitions)
+
+
+def fit_where_they_are(found: DataFrame, n: int, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """The same of chains in a frame (chain, state, n): tasks add up the gradients of theirs, one job a step."""
+    spread = cut(found.repartition(PARTS, F.xxhash64("chain", "state")))
+    own = gold([unknown(n)], n_features)
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(theta)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 4096):
+                    rows = batch.slice(a, 4096).to_pylist()
+                    total += likelihood(theta, gold([(r["chain"], r["state"], r["n"]) for r in rows], n_features))[1]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["gradient"])
+
+        parts = spread.mapInArrow(add, "gradient array<double>").toArrow()["gradient"].to_pylist()
+        return likelihood(theta, own)[1] + np.sum([np.zeros_like(theta), *map(np.array, parts)], axis=0)
+
+    return climb(gradient, n + own.times.sum(), n_features)
+
+
+def climb(gradient: Callable[[np.ndarray], np.ndarray], times: float, n_features: int, transitions: bool = True) -> tuple[np.ndarray, float, np.ndarray]:
     """Maximise the likelihood of the states, with a small prior, by full gradients (Adam).
 
-    sequences: features of each word, states, and how often the chain occurs. Chains of unknown words, all
-    clean, are added.
+    Without transitions the moves stay 0, so that words are judged one by one, to see what moves add.
     """
-    n = sum(k for _, _, k in sequences)
-    chains = gold([*sequences, ([[]] * 8, [0] * 8, max(10, n // 4))], n_features)
     theta = np.zeros(n_features + 4)
     theta[n_features] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        grad = likelihood(theta, chains)[1] / chains.times.sum() - 1e-4 * theta
+        grad = gradient(theta) / times - 1e-4 * theta
+        if not transitions:
+            grad[n_features + 1 :] = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:n_features], float(theta[n_features]), np.append(0.0, theta[n_features + 1 :]).reshape(2, 2)
@@ -289,12 +324,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, transitions: bool = True) -> Field:
     """A field from docs (doc_id, text) and labels (doc_id, label 0 or 1), `bound` of them and half as many of a rare label.
 
     Words of toxic texts are labelled by their traits: one that is seen in at least SUPPORT toxic
     texts and hardly in clean ones marks its word. Without labels of both kinds the field knows no
-    trait, and the score is the share of toxic labels.
+    trait, and the score is the share of toxic labels. Every chain of the sample counts.
     """
     sample = cut(labelled(docs, labels, bound, every_label=True))  # read four times; the whole texts are scanned once
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -317,9 +352,13 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Field:
                 )
 
     found = sample.select("text", "label").mapInArrow(gather, "chain array<array<int>>, state array<int>")
-    found = found.groupBy("chain", "state").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("chain", "state")).limit(CHAINS)
-    rows = [(r["chain"], r["state"], r["n"]) for r in found.toArrow().to_pylist()]
-    w, bias, moves = fit(rows, len(keys) + CONTEXT)
+    found = cut(found.groupBy("chain", "state").agg(F.count(F.lit(1)).alias("n")))
+    size = found.agg(F.count(F.lit(1)).alias("chains"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if size["chains"] > CHAINS:
+        w, bias, moves = fit_where_they_are(found, size["n"], len(keys) + CONTEXT)
+    else:
+        rows = found.withColumn("at", F.xxhash64("chain", "state")).toArrow().sort_by("at").to_pylist()
+        w, bias, moves = fit([(r["chain"], r["state"], r["n"]) for r in rows], len(keys) + CONTEXT, transitions)
     field = Field(keys, w, bias, moves, np.zeros(3))
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

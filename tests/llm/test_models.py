@@ -390,3 +390,15 @@ def test_every_query_has_one_row_for_each_document(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     for name in ("op1_ngram_join", "op2_mix_sources", "op6_ppm_scores", "op7_toxicity"):
         assert QUERIES[name](spark, small).agg(F.count(F.lit(1))).first()[0] == n
+
+
+def test_chains_that_stay_where_they_are_give_the_same_field(spark, docs, monkeypatch):
+    rows = [(i, f"a b {'nasty stuff ' if i % 2 else 'nice '}c d{i % 7} {'vile' if i % 6 == 1 else 'fine'} e") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    here = toxicity.learn(docs(rows).select("doc_id", "text"), labels)
+    monkeypatch.setattr(toxicity, "CHAINS", 1)
+    monkeypatch.setattr(toxicity, "PARTS", 3)
+    there = toxicity.learn(docs(rows).select("doc_id", "text"), labels)
+    assert len(here.keys) and np.array_equal(here.keys, there.keys)
+    assert np.allclose(here.weights, there.weights) and np.allclose(here.moves, there.moves)
