@@ -11,7 +11,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from loomwright.session import session
 
-    s = session(cores=4, memory="4g", name="tests")
+    s = session(cores=8, memory="6g", name="tests")
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

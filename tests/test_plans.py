@@ -27,3 +27,8 @@ def test_built_ins_run_no_python(spark, small):
     for name in ("f1_strings", "f8_math", "f12_json", "w1_ranking", "star_join", "j9_asof_join"):
         assert inspect.python_nodes(QUERIES[name](spark, small)) == []
     assert inspect.python_nodes(QUERIES["x2_arrow_udf"](spark, small))
+
+
+def test_built_ins_of_the_new_queries_run_no_python(spark, small):
+    for name in ("j3_overlap_join", "w9_running_totals", "g6_exact_percentiles", "f14_from_xml", "j8_lateral_join", "g13_estimates"):
+        assert inspect.python_nodes(QUERIES[name](spark, small)) == []
