@@ -133,3 +133,52 @@ def test_stages_of_odd_and_of_empty_tables(spark, docs, name, tmp_path):
     if name in ("decontaminate", "mix"):
         assert len(rows) == len(ODD)
     assert stage(spark, df.limit(0), folder).count() == 0
+
+
+FIXED = {
+    "op4_token_counts": ("doc_id, n_bytes", "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents"),
+    "op5_language_id": ("doc_id, lang_pred = 'und' AS und", "SELECT doc_id, text IS NULL OR NOT regexp_matches(text, '\\p{L}') AS und FROM documents"),
+    "op6_ppm_scores": (
+        "doc_id, n_tokens",
+        r"SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) + 1 AS BIGINT) AS n_tokens FROM documents",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FIXED))
+def test_columns_that_no_model_decides_are_their_sql(spark, small, name):
+    from oracle import same
+
+    from loomwright.llm.registry import QUERIES
+
+    columns, sql = FIXED[name]
+    same(QUERIES[name](spark, small).selectExpr(*[c.strip() for c in columns.split(",")]), sql, small)
+
+
+def test_base_scores_are_the_formula(spark, small):
+    """n_known, train_tokens and base_score from counts of words, in loops."""
+    import math
+    import re
+    import zlib
+
+    from loomwright.llm.registry import QUERIES
+
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0d]+", low(t)), None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in QUERIES["op6_ppm_scores"](spark, small).collect():
+        ws = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(w in c for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+
+
+@pytest.mark.parametrize(("name", "of", "rest"), [("op5_language_id", 5, 0), ("op7_toxicity", 5, 0), ("op9_quality", 3, 1)])
+def test_folds_are_those_of_the_ids(spark, small, name, of, rest):
+    import zlib
+
+    from loomwright.llm.registry import QUERIES
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % of == rest) for r in QUERIES[name](spark, small).select("doc_id", "held_out").collect())
