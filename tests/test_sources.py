@@ -21,8 +21,8 @@ def test_jdbc_reads_parts_and_pushes_filters(spark, small):
     assert "*GreaterThan(o_totalprice,1000.0)" in pushed and "*EqualTo" in pushed and "Filter" not in inspect.operators(some) and "[numPartitions=4] [o_orderkey" in pushed
     databases.write_jdbc(orders.limit(5), name="orders", mode="append", **to)
     assert found.count() == orders.count() + 5
-    databases.write_jdbc(orders.limit(0), name="none", **to)
-    assert databases.read_jdbc(spark, name="none", column="o_orderkey", **to).count() == 0
+    databases.write_jdbc(orders.limit(0), name="no_orders", **to)
+    assert databases.read_jdbc(spark, name="no_orders", column="o_orderkey", **to).count() == 0
 
 
 def logged_table(spark, small, parts=2):
