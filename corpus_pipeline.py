@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage works on the whole rows that the stage before it kept."""
+"""A corpus pipeline: each stage works on the whole rows that the stage before it kept.
+
+Every stage returns an empty table for one, keeps columns of any name, and reads whole texts. A null text
+is the empty text. Rows that repeat whole, or repeat an id, are told apart as each stage says.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,43 @@ from loomwright.llm.common import aside, cut, read
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects.
+
+    Each row stands for itself. Null and empty texts get the score of a text without words. Without
+    labels of both kinds all rows stay or all go, as the labels that there are say; without labels they stay.
+    """
     model = quality.learn(docs.select("doc_id", "text"), quality.quality_labels(spark, sf_dir))
     docs, back = aside(docs, ["score", "predicted"])
     return back(quality.score_quality(docs, model, keep_text=True).filter("predicted = 1").select(*docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Keep one document of each group of equal texts: the longest, then the one with the smallest id.
+
+    Null and empty texts are equal. A null id loses every tie. Of rows that repeat an id the longest
+    stays, and of rows that repeat whole one.
+    """
     docs, back = aside(docs, ["keep_id", "group_size", "kept", "full_hash"])
     found = exact_dedup.exact_dedup(docs).filter("kept")
     return back(exact_dedup.first_of_repeats(found, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
+    """Keep one document of each group of near duplicates: the one with the smallest id.
+
+    Texts without words, null ones too, are nobody's duplicates and stay. A null id counts as the
+    greatest. Of rows of a group that repeat its smallest id one stays.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that share a passage with the benchmark."""
+    """Drop the documents that share a passage with the benchmark. Each row stands for itself; rows without words stay."""
     return decontaminate.clean_of(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give each document its place in the mixture of sources."""
+    """Give each document its place in the mixture of sources. All rows stay, repeated ones too; a null source is the source ''."""
     return mixing.mix(docs)
 
 
