@@ -130,7 +130,11 @@ class Squares(DataSource):
         return SquaresReader(self.options)
 
 
-@query("SELECT i, i * i AS square FROM (SELECT unnest(range(0, 250)) AS i)")
+@query("SELECT c_custkey, square FROM customer JOIN (SELECT i, i * i AS square FROM (SELECT unnest(range(0, (SELECT max(c_custkey) + 1 FROM customer))) AS i)) ON c_custkey = i")
 def s5_python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many squares as there are keys of customers, a task for each 100,000, joined to them."""
     spark.dataSource.register(Squares)
-    return spark.read.format("loomwright_squares").option("n", 250).option("parts", 5).load()
+    customer = table(spark, sf_dir, "customer").select("c_custkey")
+    n = (customer.agg(F.max("c_custkey")).first()[0] or 0) + 1
+    squares = spark.read.format("loomwright_squares").option("n", n).option("parts", -(-n // 100_000)).load()
+    return customer.join(squares, F.col("c_custkey") == F.col("i")).select("c_custkey", "square")
