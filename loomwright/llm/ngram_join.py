@@ -157,6 +157,7 @@ def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
             )
 
     # a set with many partners goes to each SHIPPED of them once, and not once a pair, so no key has more rows than that
+    pairs = cut(pairs)
     many = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SHIPPED).select("a", F.ceil(F.col("_n") / SHIPPED).alias("_deals")))
     few = many.count() <= BROADCAST_ROWS
     deals = F.broadcast(many) if few else many.hint("shuffle_merge")
