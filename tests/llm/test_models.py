@@ -319,8 +319,6 @@ def links_by_hand(texts):
 @pytest.mark.parametrize("broadcast_rows", [0, 100_000])
 def test_ngram_join_is_brute_force(docs, monkeypatch, broadcast_rows):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)  # canopies in several blocks
-    if not broadcast_rows:
-        monkeypatch.setattr(ngram_join, "SHIPPED", 3)  # centres that are sent to their partners in several deals
     random = np.random.default_rng(3)
     texts = []
     for g in range(4):
