@@ -107,7 +107,7 @@ def overlap_join(
     l_rows = dealt(l_rows, "l", "r", l_key, r_key)
     r_rows = dealt(r_rows, "r", "l", r_key, l_key)
     l_low = free("_l_low", left, right)
-    joined = l_rows.withColumnRenamed(low, l_low).drop(high).join(r_rows.drop(high), [bin_, l_key, r_key])
+    joined = l_rows.withColumnRenamed(low, l_low).drop(high).join(r_rows.drop(high).hint("merge"), [bin_, l_key, r_key])  # the plan doesn't know how many rows the bins make
     met = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.greatest(F.col(l_low), F.col(low)) == F.col(bin_))
     return joined.filter(met).drop(bin_, l_key, r_key, l_low, low)
 
@@ -120,9 +120,10 @@ def less_join(left: DataFrame, right: DataFrame, smaller: str, larger: str, or_e
     dealt over more blocks. A block of left meets the blocks of right in its bin and above, the others
     hold no pair and are never made. Nulls are in no pair.
     """
-    n, m = left.count(), right.count()
-    side = max(1, int(pairs**0.5))
-    bins = max(1, min(BINS, -(-max(n, m) // side)))
+    n, m = max(left.count(), 1), max(right.count(), 1)
+    skew = min(max((n / m) ** 0.5, 1 / 16), 16.0)  # a longer side has larger blocks, so that the shorter one is repeated less
+    l_side, r_side = max(1, int(pairs**0.5 * skew)), max(1, int(pairs**0.5 / skew))
+    bins = max(1, min(BINS, max(-(-n // l_side), -(-m // r_side))))
     values = left.select(F.col(smaller).alias("v")).unionByName(right.select(F.col(larger).alias("v")))
     bounds = bounds_of(values, F.col("v"), bins)
     edges, bin_, blocks, mine, at = (free(x, left, right) for x in ("_edges", "_bin", "_blocks", "_mine", "_at"))
@@ -135,17 +136,18 @@ def less_join(left: DataFrame, right: DataFrame, smaller: str, larger: str, or_e
     named = lambda df: df.select(F.col(bin_).alias("_bin"))
     counts = _counted(named(l_rows), named(r_rows), bins)
     l_key, r_key = (free(x, left, right) for x in ("_l_block", "_r_block"))
+    sides = {"l": l_side, "r": r_side}
 
     def dealt(df: DataFrame, own: str, its: str, where: str, to: str, up: bool) -> DataFrame:
         """Each row with its block (bin and number in it), once for each block of the other side that it can meet."""
         plain = [x for x, kind in df.dtypes if "<" not in kind and kind != "variant"]
         rows = df.withColumn(blocks, counts.select(F.struct("l", "r")).scalar())
-        number = F.pmod(F.xxhash64(*plain), _blocks(F.get(F.col(blocks)[own], F.col(bin_)), side)).cast("int")
+        number = F.pmod(F.xxhash64(*plain), _blocks(F.get(F.col(blocks)[own], F.col(bin_)), sides[own])).cast("int")
         reach = F.sequence(F.col(bin_), F.lit(bins - 1)) if up else F.sequence(F.lit(0), F.col(bin_))
 
         def blocks_of(b: Column) -> Column:
             rows_in = F.get(F.col(blocks)[its], b)
-            some = F.transform(F.sequence(F.lit(0), _blocks(rows_in, side) - 1), lambda k: F.struct(b.alias("bin"), k.alias("k")))
+            some = F.transform(F.sequence(F.lit(0), _blocks(rows_in, sides[its]) - 1), lambda k: F.struct(b.alias("bin"), k.alias("k")))
             return F.when(rows_in > 0, some).otherwise(F.slice(some, 1, 0))
 
         rows = rows.withColumn(where, F.struct(F.col(bin_).alias("bin"), number.alias("k")))
@@ -153,11 +155,52 @@ def less_join(left: DataFrame, right: DataFrame, smaller: str, larger: str, or_e
 
     l_rows = dealt(l_rows, "l", "r", l_key, r_key, True)
     r_rows = dealt(r_rows, "r", "l", r_key, l_key, False)
-    joined = l_rows.join(r_rows, [l_key, r_key])
+    joined = l_rows.join(r_rows.hint("merge"), [l_key, r_key])  # the plan doesn't know how many rows the blocks make
     met = F.col(smaller) <= F.col(larger) if or_equal else F.col(smaller) < F.col(larger)
     return joined.filter(met).drop(l_key, r_key)
 
 
+# ---- totals over the pairs of such joins, without the pairs
+
+TOTALS = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def _upto(df: DataFrame, value: str, asked: DataFrame, at: str, or_equal: bool, totals: dict[str, tuple[str, Column]], part_rows: int) -> DataFrame:
+    """asked with totals over all rows of df with value < at (<= with or_equal); null where there are none.
+
+    Rows of one value are added up first, and each value is asked for once. Those rows are cut into parts by
+    value: what comes before a part is one row of totals, the rest is a window in the part.
+    """
+    key, kind, part, edges = (free(x, df, asked) for x in ("_key", "_kind", "_part", "_edges"))
+    own = {name: free(f"_own_{name}", df, asked) for name in totals}
+    ahead = {name: free(f"_ahead_{name}", df, asked) for name in totals}
+    fold = {name: TOTALS[how] for name, (how, _) in totals.items()}
+    rows = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias(key)).agg(*[fold[n][0](c).alias(own[n]) for n, (_, c) in totals.items()])
+    questions = asked.select(F.col(at).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    rows = rows.withColumn(kind, F.lit(0 if or_equal else 2)).unionByName(questions.withColumn(kind, F.lit(1)), allowMissingColumns=True)
+    rows = settled(rows)
+    parts = max(1, min(PARTS, -(-rows.count() // part_rows)))
+    bounds = bounds_of(rows, F.col(key), parts)
+    rows = rows.withColumn(edges, bounds.select("bounds").scalar()).withColumn(part, part_of(F.col(key), edges, parts)).drop(edges)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    sums = rows.groupBy(part).agg(*[fold[n][0](own[n]).alias(ahead[n]) for n in totals]).select(part, *[fold[n][0](ahead[n]).over(before).alias(ahead[n]) for n in totals])
+    inside = Window.partitionBy(part).orderBy(key, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({own[n]: fold[n][0](own[n]).over(inside) for n in totals}).filter(F.col(kind) == 1)
+    told = local.join(sums, part).select(key, *[fold[n][1](F.col(own[n]), F.col(ahead[n])).alias(n) for n in totals])
+    return asked.join(told, F.col(at) == F.col(key), "left").drop(key)
+
+
+def less_totals(left: DataFrame, right: DataFrame, smaller: str, larger: str, or_equal: bool = False, part_rows: int = PART_ROWS, **totals: tuple[str, Column]) -> DataFrame:
+    """Rows of right that have a pair in less_join, with totals over their rows of left.
+
+    totals are ("sum", "min" or "max", a column of left) by name; ("sum", F.lit(1)) counts the pairs. No pair is
+    made, so the work grows as the rows do. Sums of decimals and whole numbers are exact.
+    """
+    n = free("_n", left, right)
+    found = _upto(left, smaller, right, larger, or_equal, {**totals, n: ("sum", F.lit(1).cast("long"))}, part_rows)
+    return found.filter(F.col(n) > 0).drop(n)
+
+
 @query("""
 WITH o AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 2 HOUR AS b FROM orders),
 l AS (SELECT l_shipdate AS c, l_shipdate + to_seconds(CAST(l_quantity AS BIGINT) * 600) AS d, l_quantity FROM lineitem)
@@ -176,11 +219,12 @@ def j3_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, count(*) AS poorer, max(c_acctbal) AS next_below, min(c_custkey) AS first_ FROM customer JOIN supplier ON c_acctbal < s_acctbal GROUP BY s_suppkey
 """)
 def j3_inequality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with less than a supplier, by blocks of the two tables."""
+    """Customers with less than a supplier, by totals over ranges of balances."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    found = less_join(c, s, "c_acctbal", "s_acctbal")
-    return found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("poorer"), F.max("c_acctbal").alias("next_below"), F.min("c_custkey").alias("first_"))
+    one = F.lit(1).cast("long")
+    found = less_totals(c, s, "c_acctbal", "s_acctbal", poorer=("sum", one), next_below=("max", F.col("c_acctbal")), first_=("min", F.col("c_custkey")))
+    return found.groupBy("s_suppkey").agg(F.sum("poorer").alias("poorer"), F.max("next_below").alias("next_below"), F.min("first_").alias("first_"))
 
 
 # ---- running windows over few keys

@@ -41,6 +41,18 @@ def test_less_join_is_the_nested_loop(spark, left, right, or_equal):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@SLOW
+@given(st.lists(st.one_of(st.none(), st.integers(0, 9)), max_size=30), st.lists(st.one_of(st.none(), st.integers(0, 9)), max_size=30), st.booleans())
+def test_less_totals_are_those_of_the_nested_loop(spark, left, right, or_equal):
+    a = spark.createDataFrame(list(enumerate(left)), "i int, x int")
+    b = spark.createDataFrame(list(enumerate(right)), "j int, _key int")
+    of = {"n": ("sum", F.lit(1)), "least": ("min", F.col("i")), "most": ("max", F.col("x"))}
+    got = ranges.less_totals(a, b, "x", "_key", or_equal, 2, **of).select("j", *of).collect()
+    ok = (lambda x, y: x <= y) if or_equal else (lambda x, y: x < y)
+    met = {j: [(i, x) for i, x in enumerate(left) if x is not None and y is not None and ok(x, y)] for j, y in enumerate(right)}
+    assert sorted(map(tuple, got)) == [(j, len(m), min(m)[0], max(x for _, x in m)) for j, m in met.items() if m]
+
+
 def test_a_third_of_the_rows_at_one_value_is_dealt_over_blocks(spark, monkeypatch):
     """AQE off: no key of the join has more rows of a side than a block, whatever the values are."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -60,6 +72,13 @@ def test_a_third_of_the_rows_at_one_value_is_dealt_over_blocks(spark, monkeypatc
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_blocks_are_not_sent_to_the_driver(spark):
+    """A short side, that each of many blocks of the other repeats, isn't broadcast by its size before."""
+    small, large = spark.range(40).select(F.col("id").alias("x")), spark.range(4000).select(F.col("id").alias("u"))
+    for joined in (ranges.less_join(small, large, "x", "u", pairs=400), ranges.overlap_join(small, large, ("x", "x"), ("u", "u"), 64, 400)):
+        assert inspect.operators(joined)["SortMergeJoin"] == 1 and not inspect.operators(joined)["BroadcastHashJoin"]
+
+
 def test_queries_without_equal_keys_have_no_nested_loop(spark, small):
     for name in ("j3_overlap_join", "j3_inequality_join"):
         plan = inspect.operators(QUERIES[name](spark, small))
