@@ -201,6 +201,28 @@ def less_totals(left: DataFrame, right: DataFrame, smaller: str, larger: str, or
     return found.filter(F.col(n) > 0).drop(n)
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], part_rows: int = PART_ROWS, **sums: Column) -> DataFrame:
+    """Rows of left that have a pair in overlap_join, with sums over their rows of right; F.lit(1) counts the pairs.
+
+    Of the spans that start no later than a row ends, those that end before it starts have no value in common
+    with it, and all others have. So a sum is the difference of two running ones, and no pair is made: the
+    work grows as the rows do, whatever the lengths of the spans. Columns are whole numbers or decimals.
+    """
+    (a, b), (c, d) = left_span, right_span
+    n = free("_n", left, right)
+    some = {name: free(f"_some_{name}", left, right) for name in sums}  # how many of the values aren't null
+    wanted = {n: F.lit(1).cast("long"), **sums, **{some[name]: F.when(x.isNotNull(), 1).otherwise(0).cast("long") for name, x in sums.items()}}
+    kinds = dict(right.select(*[x.alias(name) for name, x in wanted.items()]).dtypes)
+    if any(kinds[name] in ("float", "double") for name in sums):
+        raise ValueError("differences of sums of floating-point numbers aren't exact; cast to a decimal")
+    spans, rows = right.filter(F.col(c) <= F.col(d)), left.filter(F.col(a) <= F.col(b))
+    begun, over = ({name: free(f"_{x}_{name}", left, right) for name in wanted} for x in ("begun", "over"))
+    rows = _upto(spans, c, rows, b, True, {begun[name]: ("sum", x) for name, x in wanted.items()}, part_rows)
+    rows = _upto(spans, d, rows, a, False, {over[name]: ("sum", x) for name, x in wanted.items()}, part_rows)
+    left_of = lambda name: F.coalesce(F.col(begun[name]), F.lit(0)) - F.coalesce(F.col(over[name]), F.lit(0))
+    return rows.filter(left_of(n) > 0).select(*left.columns, *[F.when(left_of(some[name]) > 0, left_of(name)).alias(name) for name in sums])
+
+
 @query("""
 WITH o AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 2 HOUR AS b FROM orders),
 l AS (SELECT l_shipdate AS c, l_shipdate + to_seconds(CAST(l_quantity AS BIGINT) * 600) AS d, l_quantity FROM lineitem)
@@ -211,8 +233,8 @@ def j3_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("interval 2 hours")).alias("b"))
     took = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("l_quantity").cast("int") * 10), F.lit(0))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("c"), (F.col("l_shipdate") + took).alias("d"), F.col("l_quantity").cast("long").alias("q"))
-    found = overlap_join(orders, lines, ("a", "b"), ("c", "d"))
-    return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("q").alias("quantity"))
+    found = overlap_totals(orders, lines, ("a", "b"), ("c", "d"), lines=F.lit(1).cast("long"), quantity=F.col("q"))
+    return found.groupBy("o_orderkey").agg(F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity"))
 
 
 @query("""

@@ -41,6 +41,21 @@ def test_less_join_is_the_nested_loop(spark, left, right, or_equal):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@SLOW
+@given(SPANS, SPANS, st.sampled_from([2, 1 << 16]))
+def test_overlap_totals_are_those_of_the_nested_loop(spark, left, right, part_rows):
+    a = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(left)], "i int, x int, y int")
+    b = spark.createDataFrame([(j if j % 3 else None, x, y) for j, (x, y) in enumerate(right)], "j long, u int, v int")
+    got = ranges.overlap_totals(a, b, ("x", "y"), ("u", "v"), part_rows, n=F.lit(1), total=F.col("j")).select("i", "n", "total").collect()
+    span = lambda s: None not in s and s[0] <= s[1]
+    want = []
+    for i, s in enumerate(left):
+        met = [j for j, t in enumerate(right) if span(s) and span(t) and s[0] <= t[1] and t[0] <= s[1]]
+        some = [j for j in met if j % 3]
+        want += [(i, len(met), sum(some) if some else None)] if met else []
+    assert sorted(map(tuple, got)) == want
+
+
 @SLOW
 @given(st.lists(st.one_of(st.none(), st.integers(0, 9)), max_size=30), st.lists(st.one_of(st.none(), st.integers(0, 9)), max_size=30), st.booleans())
 def test_less_totals_are_those_of_the_nested_loop(spark, left, right, or_equal):
@@ -79,6 +94,13 @@ def test_blocks_are_not_sent_to_the_driver(spark):
         assert inspect.operators(joined)["SortMergeJoin"] == 1 and not inspect.operators(joined)["BroadcastHashJoin"]
 
 
+def test_totals_of_half_the_values_in_common_make_no_pairs(spark):
+    """Every span meets every other: 40,000 rows, 400 million pairs."""
+    a = spark.range(20_000).select("id", F.lit(0).alias("x"), (F.col("id") + 1).alias("y"))
+    assert ranges.overlap_totals(a, a.withColumnsRenamed({"id": "j", "x": "u", "y": "v"}), ("x", "y"), ("u", "v"), n=F.lit(1)).agg(F.sum("n")).first()[0] == 20_000**2
+    assert ranges.less_totals(a, a.select(F.col("id").alias("u")), "id", "u", n=("sum", F.lit(1))).agg(F.sum("n")).first()[0] == 20_000 * 19_999 // 2
+
+
 def test_queries_without_equal_keys_have_no_nested_loop(spark, small):
     for name in ("j3_overlap_join", "j3_inequality_join"):
         plan = inspect.operators(QUERIES[name](spark, small))
