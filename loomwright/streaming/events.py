@@ -308,10 +308,11 @@ def rocks(spark: SparkSession) -> Iterator[None]:
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a user: events less than GAP microseconds apart. A timer at the end of each gives it out.
+    """Sessions of a user: events less than GAP microseconds apart. A timer at the end of the first open one gives out all that are over.
 
     The list state holds the sessions that are open, so events may come in any order within the
-    watermark, and an event may join two sessions into one.
+    watermark, and an event may join two sessions into one. A user has one timer at most: it goes off
+    once for all sessions that the watermark has passed, and is set again to the end of the next.
     """
 
     GAP = 30 * 60 * 1_000_000
@@ -326,7 +327,7 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
-        before = {last for _, last, _ in spans}
+        before = min((last for _, last, _ in spans), default=None)
         for frame in rows:
             spans += [(int(t), int(t), 1) for t in frame["at"]]
         merged: list[tuple[int, int, int]] = []
@@ -337,24 +338,23 @@ class Sessions(StatefulProcessor):
             else:
                 merged.append((first, last, n))
         self.open.put(merged)
-        ends = {last for _, last, _ in merged}
-        for last in before - ends:
-            self.handle.deleteTimer(self.due(last))
-        for last in ends - before:
-            self.handle.registerTimer(self.due(last))
+        first_end = min(last for _, last, _ in merged)
+        if first_end != before:
+            if before is not None:
+                self.handle.deleteTimer(self.due(before))
+            self.handle.registerTimer(self.due(first_end))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
         over = [s for s in spans if self.due(s[1]) <= now]
         left = [s for s in spans if self.due(s[1]) > now]
         if left:
             self.open.put(left)
+            self.handle.registerTimer(self.due(min(s[1] for s in left)))
         else:
             self.open.clear()
-        for last in {s[1] for s in over if self.due(s[1]) < now}:
-            self.handle.deleteTimer(self.due(last))
         if over:
             yield pd.DataFrame({"user_id": [key[0]] * len(over), "first": [s[0] for s in over], "n": [s[2] for s in over]})
 

@@ -1,7 +1,9 @@
 """Databases, the logged source and streams with restarts: what is pushed, what a failure leaves, what comes back."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from loomwright.operators import sketches, udfs
 from loomwright.plans import inspect
@@ -109,3 +111,50 @@ def test_a_table_function_says_what_it_needs(spark, small):
     spark.udtf.register("loomwright_gaps", F.udtf(udfs.Gaps))
     with pytest.raises(Exception, match="first argument is a table"):
         spark.sql("SELECT * FROM loomwright_gaps(TABLE(SELECT 1 AS user_id), 5)").collect()
+
+
+class Handle:
+    """A list state and timers of one user, and how often they are asked for."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_user_has_one_timer_for_all_sessions():
+    """500 sessions, an hour apart, that a watermark passes in three steps; each step is one call."""
+    handle, hour, gap = Handle(), 3_600_000, events.Sessions.GAP
+    sessions, seen = events.Sessions(), []
+    sessions.init(handle)
+    put = lambda *at: list(sessions.handleInputRows((1,), iter([pd.DataFrame({"at": at})]), None))
+    put(*[i * hour * 1000 for i in range(10, 510)])
+    put(9 * hour * 1000, 10 * hour * 1000 - gap // 2)  # an earlier one, and one that makes the first begin earlier
+    for mark in (99 * hour + hour // 2, 300 * hour, 600 * hour):
+        assert len(handle.timers) == 1
+        (at,) = [t for t in handle.timers if t <= mark]
+        frames = list(sessions.handleExpiredTimer((1,), TimerValues(0, mark), ExpiredTimerInfo(at)))
+        handle.timers.discard(at)
+        seen += [(r.first, r.n) for f in frames for r in f.itertuples()]
+    assert not handle.timers and not handle.rows and handle.calls <= 5
+    assert seen == [(9 * hour * 1000, 1), (10 * hour * 1000 - gap // 2, 2), *[(i * hour * 1000, 1) for i in range(11, 510)]]
