@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
@@ -19,6 +20,8 @@ HLL, THETA, KLL = 12, 12, 200
 HLL_ERROR, THETA_ERROR, KLL_ERROR = 3 * 1.04 / 2**6, 3 / 2**6, 3 * 0.0133
 #: The count-min sketch: error as a part of all counts, confidence, seed.
 EPS, CONFIDENCE, SEED = 0.005, 0.999, 7
+#: Items that meet a count-min sketch at once, and sketches that are added up at once, about.
+ITEMS, ADDED = 1 << 16, 256
 
 
 def sketches(df: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
@@ -43,26 +46,49 @@ def cms_union(sketch: pd.Series) -> bytes:
     return first[:4] + struct.pack(">q", total) + first[12 : 20 + 8 * depth] + counts.astype(">i8").tobytes()
 
 
+def cms_ask(sketch: bytes, items: np.ndarray) -> np.ndarray:
+    """How often a count-min sketch has seen whole numbers, about, and never less."""
+    _, _, depth, width = struct.unpack(">iqii", sketch[:20])
+    factors = np.frombuffer(sketch, ">i8", depth, 20).astype(np.int64)
+    counts = np.frombuffer(sketch, ">i8", depth * width, 20 + 8 * depth).reshape(depth, width)
+    with np.errstate(over="ignore"):
+        h = factors[:, None] * items.astype(np.int64)[None, :]
+        h = h + (h >> 32) & np.int64((1 << 31) - 1)
+    return counts[np.arange(depth)[:, None], h % width].min(axis=0).astype(np.int64)
+
+
 @F.pandas_udf(LongType())
 def cms_count(sketch: pd.Series, item: pd.Series) -> pd.Series:
-    """How often a count-min sketch has seen a whole number, about, and never less."""
-    out = []
-    for s, x in zip(sketch, item, strict=True):
-        _, _, depth, width = struct.unpack(">iqii", s[:20])
-        factors = np.frombuffer(s, ">i8", depth, 20).astype(np.int64)
-        counts = np.frombuffer(s, ">i8", depth * width, 20 + 8 * depth).reshape(depth, width)
-        with np.errstate(over="ignore"):
-            h = factors * np.int64(x)
-            h = h + (h >> 32) & np.int64((1 << 31) - 1)
-        out.append(int(counts[np.arange(depth), h % width].min()))
-    return pd.Series(out)
+    """How often a count-min sketch has seen a whole number, about; for few rows, as each brings its sketch."""
+    return pd.Series([int(cms_ask(s, np.array([x]))[0]) for s, x in zip(sketch, item, strict=True)])
+
+
+def cms_counts(rows: DataFrame, sketch: DataFrame, keys: list[str], item: str, block: int = ITEMS) -> DataFrame:
+    """rows whose keys have a sketch (keys, cms), with about: how often that has seen the row's item.
+
+    Rows are dealt over blocks by their item, and each block meets its sketch once. Items aren't null.
+    """
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(item), blocks))
+    each = sketch.select(*keys, "cms").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows and left.num_rows:
+            about = cms_ask(right["cms"][0].as_py(), left[item].to_numpy())
+        else:
+            left, about = left.slice(0, 0), np.zeros(0, np.int64)
+        return left.drop_columns(["_block"]).append_column("about", pa.array(about))
+
+    schema = rows.select("*", F.lit(0).cast("long").alias("about")).schema
+    return dealt.groupBy(*keys, "_block").cogroup(each.groupBy(*keys, "_block")).applyInArrow(tell, schema)
 
 
 def merged(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """The sketches of several days as those of all of them."""
+    """The sketches of several days as those of all of them. Count-min sketches are added in blocks, then the blocks."""
+    some = daily.groupBy(*keys, F.pmod(F.xxhash64("cms"), max(1, -(-daily.count() // ADDED))).alias("_block")).agg(cms_union("cms").alias("cms"))
     return daily.groupBy(*keys).agg(
         F.hll_union_agg("hll").alias("hll"), F.theta_union_agg("theta").alias("theta"), F.kll_merge_agg_double("kll").alias("kll")
-    ).join(daily.groupBy(*keys).agg(cms_union("cms").alias("cms")), keys)
+    ).join(some.groupBy(*keys).agg(cms_union("cms").alias("cms")), keys)
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +127,10 @@ def g15_sketches_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = _daily(spark, sf_dir)
     found = merged(daily, ["event_type"]).join(daily.groupBy("event_type").agg(F.count(F.lit(1)).alias("days")), "event_type")
     once = events.groupBy("event_type").agg(F.theta_sketch_agg("user_id", THETA).alias("once"), F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
-    counts = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("k")).join(found.select("event_type", "cms"), "event_type")
-    asked = cms_count("cms", "user_id")
-    total = F.conv(F.hex(F.substring("cms", 5, 8)), 16, 10).cast("long")
-    cms = counts.select("event_type", ((asked >= F.col("k")) & (asked - F.col("k") <= EPS * total)).alias("ok")).groupBy("event_type").agg(F.bool_and("ok").alias("cms_ok"))
+    counts = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("k"))
+    totals = found.select("event_type", F.conv(F.hex(F.substring("cms", 5, 8)), 16, 10).cast("long").alias("total"))
+    counts, asked = cms_counts(counts, found, ["event_type"], "user_id").join(totals, "event_type"), F.col("about")
+    cms = counts.select("event_type", ((asked >= F.col("k")) & (asked - F.col("k") <= EPS * F.col("total"))).alias("ok")).groupBy("event_type").agg(F.bool_and("ok").alias("cms_ok"))
     middle = found.select("event_type", F.kll_sketch_get_quantile_double("kll", F.lit(0.5)).alias("m"))
     ranks = events.join(middle, "event_type").groupBy("event_type").agg(
         F.avg((F.col("value") < F.col("m")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("m")).cast("double")).alias("upto")

@@ -1,9 +1,14 @@
 """Databases, the logged source and streams with restarts: what is pushed, what a failure leaves, what comes back."""
 
+import json
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 from loomwright.operators import sketches, udfs
 from loomwright.plans import inspect
@@ -158,3 +163,18 @@ def test_a_user_has_one_timer_for_all_sessions():
         seen += [(r.first, r.n) for f in frames for r in f.itertuples()]
     assert not handle.timers and not handle.rows and handle.calls <= 5
     assert seen == [(9 * hour * 1000, 1), (10 * hour * 1000 - gap // 2, 2), *[(i * hour * 1000, 1) for i in range(11, 510)]]
+
+
+def test_a_block_of_items_meets_its_sketch_once(spark):
+    """Counts asked in blocks are those asked one by one; sketches added in blocks are those added at once."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), (F.col("id") % 50).alias("day"), (F.col("id") * F.col("id") % 701 - 300).alias("item"), F.lit(1.0).alias("v"))
+    daily = files.settled(sketches.sketches(df, ["k", "day"], "item", "v"))
+    found = files.settled(sketches.merged(daily, ["k"]).select("k", "cms"))
+    at_once = daily.groupBy("k").agg(sketches.cms_union("cms").alias("cms"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, at_once.collect()))
+    rows = df.groupBy("k", "item").agg(F.count(F.lit(1)).alias("n"))
+    got = sketches.cms_counts(rows, found, ["k"], "item", 64)
+    want = rows.join(found, "k").select("k", "item", "n", sketches.cms_count("cms", "item").alias("about"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("about < n").count() == 0
+    sizes = rows.withColumn("b", F.pmod(F.xxhash64("item"), -(-rows.count() // 64))).groupBy("k", "b").count().agg(F.max("count")).first()[0]
+    assert sizes <= 128 and inspect.operators(got)["FlatMapCoGroupsInArrow"] == 1
