@@ -43,8 +43,8 @@ from loomwright.session import table
 from loomwright.sources.files import shared_folder
 
 COMPARED = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
-#: Rows in one file, about.
-FILE_ROWS = 1 << 20
+#: Rows in one file, about, and rows that a task holds before it writes them to it.
+FILE_ROWS, HELD_ROWS = 1 << 20, 1 << 16
 
 
 class Store:
@@ -186,25 +186,35 @@ class LoggedWriter(DataSourceArrowWriter):
         self.uri, self.folder = uri, f"data/{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, entries, held, n = Store(self.uri), [], [], 0
+        store, entries = Store(self.uri), []
         store.files.create_dir(f"{store.root}/{self.folder}")
-
-        def put() -> None:
-            t = pa.Table.from_batches(held)
-            path = f"{self.folder}/{uuid.uuid4().hex}.parquet"
-            with store.files.open_output_stream(f"{store.root}/{path}") as f:
-                pq.write_table(t, f)
-            entries.append({"path": path, "rows": t.num_rows, "ranges": ranges(t)})
-
-        for batch in iterator:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= FILE_ROWS:
-                put()
-                held, n = [], 0
-        if n:
-            put()
-        return Written(entries)
+        batches = iter(iterator)
+        for batch in batches:
+            entries.append(self.put(store, batch, batches))
+        return Written([e for e in entries if e["rows"]])
+
+    def put(self, store: Store, first: pa.RecordBatch, more: Iterator[pa.RecordBatch]) -> dict:
+        """A file with the first batch and as many more as it takes, of which HELD_ROWS rows are in memory; its entry."""
+        path, found, held, n = f"{self.folder}/{uuid.uuid4().hex}.parquet", {}, [first], first.num_rows
+        with store.files.open_output_stream(f"{store.root}/{path}") as f, pq.ParquetWriter(f, first.schema) as out:
+
+            def flush() -> None:
+                t = pa.Table.from_batches(held, first.schema)
+                held.clear()
+                out.write_table(t)
+                for name, (low, high) in ranges(t).items():
+                    least, most = found.get(name, (low, high))
+                    found[name] = [min(low, least), max(high, most)]
+
+            waiting = n
+            while n < FILE_ROWS and (batch := next(more, None)) is not None:
+                held.append(batch)
+                n, waiting = n + batch.num_rows, waiting + batch.num_rows
+                if waiting >= HELD_ROWS:
+                    flush()
+                    waiting = 0
+            flush()
+        return {"path": path, "rows": n, "ranges": found}
 
     def commit(self, messages: list[Written | None]) -> None:
         """Only files of tasks that were told of here are named, so what a task left that ran twice is no part."""

@@ -165,6 +165,28 @@ def test_a_user_has_one_timer_for_all_sessions():
     assert seen == [(9 * hour * 1000, 1), (10 * hour * 1000 - gap // 2, 2), *[(i * hour * 1000, 1) for i in range(11, 510)]]
 
 
+def test_a_write_holds_few_rows(tmp_path):
+    """3,000,000 rows of 16 bytes in three files; ranges are those of all rows of a file."""
+    base, most = pa.total_allocated_bytes(), 0
+
+    def batches():
+        nonlocal most
+        for i in range(300):
+            most = max(most, pa.total_allocated_bytes() - base)
+            at = np.arange(i * 10_000, (i + 1) * 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at % 7 - i)], names=["id", "v"])
+
+    writer = logged.LoggedWriter(str(tmp_path), False)
+    writer.commit([writer.write(batches())])
+    entries = logged.Store(str(tmp_path)).entries()
+    assert most < 8_000_000 and len(entries) == 3 and sum(e["rows"] for e in entries) == 3_000_000
+    ends = [(e["ranges"]["id"], e["ranges"]["v"]) for e in entries]
+    assert [a for (a, _), _ in ends] == [0, *[b + 1 for (_, b), _ in ends[:-1]]] and ends[-1][0][1] == 2_999_999 and ends[-1][1][0] == -299
+    reader = logged.LoggedReader(str(tmp_path), StructType.fromDDL("id long"))
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3_000_000
+    assert json.dumps(writer.write(iter([])).entries) == "[]"
+
+
 def test_a_block_of_items_meets_its_sketch_once(spark):
     """Counts asked in blocks are those asked one by one; sketches added in blocks are those added at once."""
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), (F.col("id") % 50).alias("day"), (F.col("id") * F.col("id") % 701 - 300).alias("item"), F.lit(1.0).alias("v"))
