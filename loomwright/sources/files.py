@@ -87,9 +87,13 @@ def s2_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _customers(spark, sf_dir), "csv", header="true")
 
 
+#: Rows in one file of XML, at most, as a task reads a file whole.
+XML_ROWS = 100_000
+
+
 @query(CUSTOMER)
 def s3_xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark, _customers(spark, sf_dir), "xml", rowTag="customer", rootTag="customers")
+    return round_trip(spark, _customers(spark, sf_dir), "xml", rowTag="customer", rootTag="customers", maxRecordsPerFile=str(XML_ROWS))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")

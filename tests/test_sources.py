@@ -187,6 +187,14 @@ def test_a_write_holds_few_rows(tmp_path):
     assert json.dumps(writer.write(iter([])).entries) == "[]"
 
 
+def test_xml_files_have_few_rows_each(spark, small, monkeypatch):
+    """A task reads a file of XML whole, so a file doesn't grow with the table."""
+    monkeypatch.setattr(files, "XML_ROWS", 40)
+    found = files.s3_xml_round_trip(spark, small)
+    rows = table(spark, small, "customer")
+    assert len(found.inputFiles()) >= rows.count() // 40 > 1 and sorted(found.collect()) == sorted(rows.collect())
+
+
 def test_a_block_of_items_meets_its_sketch_once(spark):
     """Counts asked in blocks are those asked one by one; sketches added in blocks are those added at once."""
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), (F.col("id") % 50).alias("day"), (F.col("id") * F.col("id") % 701 - 300).alias("item"), F.lit(1.0).alias("v"))
