@@ -92,6 +92,38 @@ def test_quality_without_labels_and_odd_texts(spark, docs):
     assert a[8] == pytest.approx(3 / 7) and a[11] == 0  # distinct words after lower-casing: b, a, "a."
 
 
+def test_quality_learns_from_every_labelled_document(spark, docs):
+    """All of 22,000 labelled documents are in each count, and the order of rows changes nothing."""
+    rows = [(i, f"some plain words {'that are good' if i % 2 else '!! !! ##'} number {i % 97}") for i in range(22_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int")
+    seen, real = [], quality.counted
+    quality.counted = lambda r, *a: seen.append((r.count(), r.rdd.getNumPartitions())) or real(r, *a)
+    try:
+        model = quality.learn(docs(rows), labels)
+    finally:
+        quality.counted = real
+    assert set(seen) == {(22_000, 1)}
+    got = quality.score_quality(docs(rows), model).filter("predicted = doc_id % 2").count()
+    assert got >= 21_900
+    assert quality.learn(docs(rows).repartition(7), labels).weights.tolist() == model.weights.tolist()
+
+
+def test_quality_steps_are_those_of_all_pairs(spark):
+    """The gradient by cells is the sum over all pairs; the threshold parts as many rows as are good."""
+    random = np.random.default_rng(3)
+    x, up = random.random((90, len(quality.NAMES))), random.random(90) < 0.3
+    x[up, 0] += 0.4
+    rows = spark.createDataFrame([(r.tolist(), int(u)) for r, u in zip(x, up, strict=True)], "features array<double>, label int")
+    model = quality.rank(rows)
+    b, w = model.binned(x), np.zeros(len(model.weights))
+    pairs = (b[up][:, None] - b[~up][None]).reshape(-1, len(w))
+    curve = pairs.T @ pairs / len(pairs) / 4 + quality.DECAY * np.eye(len(w))
+    for _ in range(quality.STEPS):
+        w = w + np.linalg.solve(curve, pairs.T @ (1 / (1 + np.exp(pairs @ w))) / len(pairs) - quality.DECAY * w)
+    assert np.corrcoef(b @ w, model.raw(x))[0, 1] > 0.999 and abs((model.score(x) >= 0.5).sum() - up.sum()) <= 1
+    assert np.allclose(model.edges, [np.quantile(c, np.arange(1, 9) / 9, method="inverted_cdf") for c in x.T], rtol=2 / 1024)
+
+
 def test_toxicity_learns_words_and_stems(spark, docs):
     random = np.random.default_rng(0)
     words = [f"w{i}" for i in range(60)]
