@@ -30,9 +30,9 @@ from loomwright.llm.common import cut, in_fold, read, shielded
 #: frequent ones, while the values of all others are joined.
 ORDER, NODES, HELD = 5, 1 << 22, 1 << 20
 #: Distinct keys that a worker gathers before it sends their counts on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Bytes of text worked on at once; the arrays that this takes are about a hundred times as large.
-PART = 1 << 19
+PART = 1 << 18
 WORD, GRAM = 0, 1
 MASKS = [np.uint64((1 << 8 * k) - 1) for k in range(8)] + [np.uint64(2**64 - 1)]
 #: The token that ends every text.

@@ -432,3 +432,16 @@ def test_chains_that_stay_where_they_are_give_the_same_field(spark, docs, monkey
     there = toxicity.learn(docs(rows).select("doc_id", "text"), labels)
     assert len(here.keys) and np.array_equal(here.keys, there.keys)
     assert np.allclose(here.weights, there.weights) and np.allclose(here.moves, there.moves)
+
+
+def test_ppm_counts_a_piece_of_text_in_little_memory():
+    """The arrays of the largest piece that is worked on at once; two workers share an executor with the model."""
+    import tracemalloc
+
+    text = " ".join(f"{i * 7919 % 99991:x}" for i in range(200_000)).encode()[: ppm.PART]
+    words = ppm.Words(*ppm.as_bytes(pa.array([text.decode()])), ppm.SOLID)
+    tracemalloc.start()
+    keys, _ = ppm.tallied(ppm.codes(*ppm.stream(words))[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) > 1000 and peak + ppm.GATHERED * 16 < 24_000_000, peak
