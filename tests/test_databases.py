@@ -33,7 +33,7 @@ print("the same as the SQL")
 """
 
 
-@pytest.mark.parametrize("name", ["s7_jdbc_pushed_filter"])
+@pytest.mark.parametrize("name", ["s7_jdbc_pushed_filter", "s7_jdbc_round_trip"])
 def test_queries_where_executors_are_other_processes(small, tmp_path, name):
     home = tmp_path / "home"
     (home / "work").mkdir(parents=True)
@@ -48,3 +48,30 @@ def test_queries_where_executors_are_other_processes(small, tmp_path, name):
         del env[k]
     run = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, str(tmp_path), small, name], env=env, capture_output=True, text=True, timeout=300)
     assert "the same as the SQL" in run.stdout, [x for x in run.stderr.splitlines() if "Error" in x]
+
+
+TEXTS = ['a"b', "x,y", "line\nbreak", "", None, "  sp  ", "é😀", "cr\r\nlf\\", '"', "\t\x01", "it's", "x" * 100_000]
+KINDS = "k long, s string, `d.x` double, t timestamp_ntz, b boolean, day date, m decimal(10,2), bin binary, at timestamp, n int"
+
+
+def test_odd_values_come_back_from_parts(spark, monkeypatch):
+    """Marks of CSV, empty and long texts, nulls, bytes and instants; no part has more rows than it may."""
+    numbers = [1.5, 1e300, None, 0.1, -0.5, 1e-300, 3.0, 4.0, 123456789.12345679, 0.1 + 0.2, 5e-7, 0.0]
+    row = lambda i: (i, TEXTS[i], numbers[i], dt.datetime(1997, 1, 1, 1, 2, 3, 456) if i % 3 else None, i % 2 == 0, dt.date(1990 + i, 1, 1), decimal.Decimal("12.34"), bytes([i, 255]), dt.datetime(2020, 6, 1, 0, 0, i), None)
+    df = spark.createDataFrame([row(i) for i in range(len(TEXTS))], KINDS)
+    monkeypatch.setattr(databases, "PART_ROWS", 5)
+    urls = databases.write_parts(df, "odd", parts=2)
+    found = databases.read_parts(spark, urls, "odd")
+    assert len(urls) == 3 and found.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, df.withColumn("at", F.col("at").cast("timestamp_ntz")).collect()))
+    some = found.filter("k > 3 and b").select("k")
+    assert inspect.physical(some).count("*GreaterThan(k,3)") == 3 and "Filter" not in inspect.operators(some)
+    assert sorted(r.k for r in some.collect()) == [4, 6, 8, 10]
+    none = databases.read_parts(spark, databases.write_parts(df.filter("k < 0"), "odd"), "odd")
+    assert none.count() == 0 and none.schema == found.schema
+
+
+def test_a_part_that_lacks_rows_is_an_error(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "abc")], "k long, s string")
+    with pytest.raises(Exception, match="1 rows were to be loaded"):
+        databases.write_parts(df, "short", types="s VARCHAR(2)")
