@@ -75,3 +75,30 @@ def test_a_part_that_lacks_rows_is_an_error(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abc")], "k long, s string")
     with pytest.raises(Exception, match="1 rows were to be loaded"):
         databases.write_parts(df, "short", types="s VARCHAR(2)")
+
+
+def test_timestamps_come_back_from_parts_in_any_zone(spark):
+    """Also before 1582, and at an hour that a zone of Java's has twice."""
+    at = [dt.datetime(1, 1, 1), dt.datetime(1500, 2, 28, 1, 2, 3), dt.datetime(1997, 7, 1, 2, 30), dt.datetime(1997, 10, 26, 1, 30, 0, 456), dt.datetime(9999, 12, 31, 23, 59, 59, 999999), None]
+    df = spark.createDataFrame(list(enumerate(at)), "k int, `t``s` timestamp_ntz")
+    zones = spark._jvm.java.util.TimeZone
+    usual = zones.getDefault()
+    zones.setDefault(zones.getTimeZone("America/New_York"))
+    try:
+        found = databases.read_parts(spark, databases.write_parts(df, "moments", parts=2), "moments")
+        assert found.dtypes == df.dtypes and sorted(map(tuple, found.collect())) == list(enumerate(at))
+    finally:
+        zones.setDefault(usual)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_orders_with_long_texts_and_nulls(spark, monkeypatch, tmp_path, local):
+    monkeypatch.setattr(databases, "local", lambda spark: local)
+    day = dt.datetime(1997, 1, 1)
+    rows = [(1, 7, "F", 2e5, day, "p" * 33), (2, 7, "x" * 9, 2e5, day, "1-URGENT"), (3, 7, "F", 1.0, None, "")]
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/long/orders.parquet")
+    assert list(map(tuple, databases.s7_jdbc_pushed_filter(spark, f"{tmp_path}/long").collect())) == [(7, 1, day)]
+    rows += [(4, None, None, None, None, "p" * 100_000), (None,) * 6]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/all/orders.parquet")
+    assert sorted(map(repr, map(tuple, databases.s7_jdbc_round_trip(spark, f"{tmp_path}/all").collect()))) == sorted(map(repr, rows))
